@@ -56,12 +56,10 @@ def tfidf(items: DataFrame) -> DataFrame:
     raw = (1 + F.log(F.col("tf"))) * F.col("idf")
     # The terms of one item fit in a row, as its text did.
     per_item = weighted.groupBy("item_id").agg(
-        F.collect_list(F.struct("term", "tf", "df", "idf", raw.alias("raw"))).alias("terms")
+        F.collect_list(F.struct("term", "tf", "df", "idf", raw.alias("raw"))).alias("terms"),
+        F.sqrt(F.sum(raw * raw)).alias("norm"),
     )
-    square = F.aggregate("terms", F.lit(0.0), lambda acc, t: acc + t["raw"] * t["raw"])
-    return per_item.select(
-        "item_id", F.sqrt(square).alias("norm"), F.explode("terms").alias("t")
-    ).select(
+    return per_item.select("item_id", "norm", F.explode("terms").alias("t")).select(
         "item_id", "t.term", "t.tf", "t.df", "t.idf", (F.col("t.raw") / F.col("norm")).alias("weight")
     )
 

@@ -39,15 +39,19 @@ def _answer(scored: Column, multi: Column, threshold: Column) -> Column:
     threshold. Confidence is the (smallest kept) share, NULL when nothing matched.
     """
     total = F.aggregate(scored, F.lit(0).cast("long"), lambda acc, s: acc + s["score"])
-    total = F.when(total > 0, total)
     best = F.array_max(scored)
-    kept = F.filter(scored, lambda s: s["score"] / total >= threshold)
-    return F.struct(
-        F.when(multi, F.array_sort(F.transform(kept, lambda s: s["label"])))
-        .otherwise(F.array(best["label"])).alias("labels"),
-        F.when(multi, F.array_min(F.transform(kept, lambda s: s["score"])) / total)
-        .otherwise(best["score"] / total).alias("confidence"),
-    )
+
+    def answer(total: Column) -> Column:
+        kept = F.filter(scored, lambda s: s["score"] / total >= threshold)
+        return F.struct(
+            F.when(multi, F.array_sort(F.transform(kept, lambda s: s["label"])))
+            .otherwise(F.array(best["label"])).alias("labels"),
+            F.when(multi, F.array_min(F.transform(kept, lambda s: s["score"])) / total)
+            .otherwise(best["score"] / total).alias("confidence"),
+        )
+
+    # Binding the total to a variable keeps it from being summed again per label.
+    return F.get(F.transform(F.array(F.when(total > 0, total)), answer), F.lit(0))
 
 
 def _route_inline(items: DataFrame, heads: dict[str, Head], keep: list[str]) -> DataFrame:
@@ -55,11 +59,15 @@ def _route_inline(items: DataFrame, heads: dict[str, Head], keep: list[str]) ->
     vocabulary = sorted({w for pairs in words.values() for _, ws in pairs for w in ws})
     found = F.filter(tokens(F.col("text")), lambda t: t.isin(*vocabulary))
     rows = items.select(*keep, found.alias("_words"))
+
+    def occurrences(own: list[str]) -> Column:
+        return F.size(F.filter("_words", lambda t: t.isin(*own))).cast("long")
+
     answers = []
     for name, head in heads.items():
         scored = F.array(*[
             F.struct(
-                F.size(F.filter("_words", lambda t, ws=ws: t.isin(*ws))).cast("long").alias("score"),
+                occurrences(ws).alias("score"),
                 F.lit(-pos).alias("rank"),
                 F.lit(label).alias("label"),
             )

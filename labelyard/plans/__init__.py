@@ -1,2 +1,2 @@
-from .panel import Panel, panel, run_arms, run_panel, system_rows  # noqa: F401
+from .panel import Panel, run_arms, run_panel, score_panel, system_rows  # noqa: F401
 from .transfer import schema_swap, supervised_transfer  # noqa: F401

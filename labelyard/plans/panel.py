@@ -93,7 +93,7 @@ def pairing(roles: dict[str, str], sizes: dict[str, int]) -> list[tuple[str, str
     ]
 
 
-def panel(
+def score_panel(
     items: DataFrame,
     predictions: DataFrame,
     roles: dict[str, str],
@@ -296,7 +296,7 @@ def run_panel(
     if reply_note_rows is not None:
         note_rows = note_rows.unionByName(reply_note_rows)
     roles = {SYSTEMS[k][0]: SYSTEMS[k][1] for k in systems if SYSTEMS[k][0] in done}
-    return panel(
+    return score_panel(
         sliced, predictions, roles, labels=labels, name=name, note=note, costs=costs,
         notes=note_rows, run_notes=run_notes, unavailable=unavailable, method=method,
     )

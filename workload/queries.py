@@ -993,7 +993,7 @@ def _panel(spark, sf) -> panel_plan.Panel:
         [(name, ["", f"{n} words per language"]) for name, n in (("lex10", 10), ("lex3", 3))],
         "system string, notes array<string>",
     )
-    return panel_plan.panel(
+    return panel_plan.score_panel(
         b.documents(spark, sf), predictions, _ROLES, labels=b.language_labels(spark, ("en", "fr")),
         name="documents", note="languages", notes=notes, verify=False,
     )
