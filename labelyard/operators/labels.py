@@ -5,17 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.text import seed_order
-from ..sizing import broadcast_if_small, fits
+from ..sizing import broadcast_if_small, take_bounded
 
 OUT_OF_SCOPE = "oos"
-# Label sets are numbered in one window, so their size is checked first.
+# Label sets are numbered in one window, so they are fetched with a bound: that reads
+# the items once and fails on a column that is not a label.
 NUMBERED_LABELS = 100_000
 
 
 def _numbered(labels: DataFrame, order: list[Column], name: str) -> DataFrame:
-    if not fits(labels, NUMBERED_LABELS):
-        raise ValueError(f"a label set may have at most {NUMBERED_LABELS} labels")
-    return labels.withColumn(name, F.row_number().over(W.orderBy(*order)))
+    rows = take_bounded(labels, NUMBERED_LABELS, "label set")
+    known = labels.sparkSession.createDataFrame(rows, labels.schema)
+    return known.withColumn(name, F.row_number().over(W.orderBy(*order)))
 
 
 def label_set(items: DataFrame, label: str = "label") -> DataFrame:

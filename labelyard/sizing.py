@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 64 * 1024 * 1024
+PINNED_ROWS = 2_000
 
 
 def fits(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
@@ -36,9 +37,14 @@ def fits(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCA
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Mark ``df`` for broadcast only after its size was checked.
 
-    A larger side stays an ordinary equi-join input, where adaptive execution
-    splits skewed partitions.
+    A tiny table, such as a label set or one row per system, is fetched by the
+    check itself and kept, so whatever it was computed from is not read again. A
+    larger side stays an ordinary equi-join input, where adaptive execution splits
+    skewed partitions.
     """
+    rows = df.limit(PINNED_ROWS + 1).collect()
+    if len(rows) <= PINNED_ROWS:
+        return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
     return F.broadcast(df) if fits(df, max_rows) else df
 
 
@@ -50,6 +56,16 @@ def take_bounded(df: DataFrame, max_rows: int, what: str) -> list:
     return rows
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """Give every core a share of a table scan that has fewer splits than cores.
+
+    For row-wise work that costs far more than moving its input. A table with
+    enough row groups is returned as it is, so nothing is shuffled at scale.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def workspace(spark: SparkSession) -> str:
     """Shared folder for materialised intermediates and cached artifacts.
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from labelyard.operators.route import route
 from labelyard.operators.schema import Head, schema_from_heads
+from labelyard.sizing import spread
 
 # --- fixed values: frequent function words per language ----------------------
 WORDS = {
@@ -31,6 +32,15 @@ def documents(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def texts(spark: SparkSession, sf: str) -> DataFrame:
+    """The same items for work that reads every word of every text."""
+    docs = spread(table(spark, sf, "documents"))
+    return docs.select(
+        F.col("doc_id").alias("item_id"), "text", F.col("lang").alias("label"),
+        F.array("lang").alias("gold"), "source", "n_chars",
+    )
+
+
 def language_head(name: str, n_words: int) -> Head:
     return Head(
         name, list(WORDS), described={lang: " ".join(ws[:n_words]) for lang, ws in WORDS.items()}
@@ -53,7 +63,7 @@ def language_labels(spark: SparkSession, described=("de", "en", "es", "fr")) ->
 def language_predictions(spark: SparkSession, sf: str) -> DataFrame:
     """Two competing systems that read every document once: ten words or three."""
     answers = route(
-        documents(spark, sf), language_schema(spark, lex10=10, lex3=3), keep=["item_id", "n_chars"]
+        texts(spark, sf), language_schema(spark, lex10=10, lex3=3), keep=["item_id", "n_chars"]
     )
     return answers.select(
         F.col("head").alias("system"), "item_id", "labels", "confidence",

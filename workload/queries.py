@@ -370,9 +370,11 @@ def incremental_predictions(spark, sf):
     # Half of the items are cached first; the second call scores only the others.
     path = f"{workspace(spark)}/predictions-{time.time_ns()}"
     schema = b.language_schema(spark, intent=10)
-    docs = b.documents(spark, sf)
+    docs = b.texts(spark, sf)
     first, _ = sampling.split_by_hash(docs, 0.5)
-    run = dict(schema=schema, score=lambda df: route_ops.route(df, schema), system="lex10", path=path)
+    run = dict(schema=schema, system="lex10", path=path, score=lambda df: route_ops.route(
+        df, schema, keep=["item_id", "text_hash"]
+    ))
     cache.cached_predictions(first, **run)
     out = cache.cached_predictions(docs, **run)
     return out.select("item_id", joined("labels").alias("labels"), r6("confidence").alias("confidence"))
@@ -590,7 +592,7 @@ def gate_violations(spark, sf):
 
 @query(s.route("documents", intent=10) + "SELECT item_id, label, round(confidence, 6) AS confidence FROM intent_ans")
 def route_single(spark, sf):
-    answers = route_ops.route(b.documents(spark, sf), b.language_schema(spark, intent=10))
+    answers = route_ops.route(b.texts(spark, sf), b.language_schema(spark, intent=10))
     return answers.select("item_id", joined("labels").alias("label"), r6("confidence").alias("confidence"))
 
 
@@ -607,14 +609,14 @@ def route_multi_head(spark, sf):
     described = b.language_schema(spark, every=10).withColumn("multi_label", F.lit(True)).withColumn(
         "cls_threshold", F.lit(every.cls_threshold)
     )
-    answers = route_ops.route(b.documents(spark, sf), schema.unionByName(described))
+    answers = route_ops.route(b.texts(spark, sf), schema.unionByName(described))
     labels = F.when(F.size("labels") > 0, joined("labels"))
     return answers.select("item_id", "head", labels.alias("labels"), r6("confidence").alias("confidence"))
 
 
 @query(s.route("documents", intent=10) + "SELECT item_id, label, round(confidence, 6) AS confidence FROM intent_ans")
 def route_wide_schema(spark, sf):
-    answers = route_ops.route(b.documents(spark, sf), b.language_schema(spark, intent=10), strategy="join")
+    answers = route_ops.route(b.texts(spark, sf), b.language_schema(spark, intent=10), strategy="join")
     return answers.select("item_id", joined("labels").alias("label"), r6("confidence").alias("confidence"))
 
 
@@ -635,7 +637,7 @@ def route_on_stream(spark, sf):
 @query(s.route("documents", intent=10) + "SELECT item_id, label AS labels, round(confidence, 6) AS confidence, true AS timed FROM intent_ans")
 def bulk_classify(spark, sf):
     raw = arm_ops.classify_many(
-        b.documents(spark, sf), b.language_schema(spark, intent=10), arm_ops.lexical_scorer,
+        b.texts(spark, sf), b.language_schema(spark, intent=10), arm_ops.lexical_scorer,
         system="lexical", batch_size=16,
     )
     return arm_ops.predictions_of(raw).select(
@@ -670,7 +672,7 @@ def external_scoring(spark, sf):
 
 @query(s.TFIDF + "SELECT item_id, term, tf, df, round(idf, 6) AS idf, round(raw / norm, 6) AS weight FROM weighted")
 def tfidf_weights(spark, sf):
-    rows = feature_ops.tfidf(b.documents(spark, sf))
+    rows = feature_ops.tfidf(b.texts(spark, sf))
     return rows.select("item_id", "term", "tf", "df", r6("idf").alias("idf"), r6("weight").alias("weight"))
 
 
@@ -699,7 +701,7 @@ def masked_mean_pool(spark, sf):
 
 
 def _doc_split(spark, sf) -> tuple[DataFrame, DataFrame]:
-    return sampling.split_by_hash(b.documents(spark, sf), 0.5)
+    return sampling.split_by_hash(b.texts(spark, sf), 0.5)
 
 
 @query()
@@ -1051,7 +1053,7 @@ UNION ALL SELECT 'External model (zero-shot)', 'no replies table given for the e
 def unavailable_systems(spark, sf):
     plain = b.language_labels(spark, described=())
     return panel_plan.run_panel(
-        b.documents(spark, sf), plain, name="documents", limit=None,
+        b.texts(spark, sf), plain, name="documents", limit=None,
         systems=["zero_shot", "zero_shot_described", "tfidf", "external"],
     ).unavailable
 
@@ -1090,7 +1092,7 @@ def schema_swap_full_schema(spark, sf):
 
 def _swap(spark, sf, scope: str) -> DataFrame:
     rows = transfer.schema_swap(
-        b.documents(spark, sf).select("item_id", "text", "label"), b.language_labels(spark),
+        b.texts(spark, sf).select("item_id", "text", "label"), b.language_labels(spark),
         limit=None, described=True, schema_scope=scope,
     )
     return rows.select(
