@@ -9,7 +9,7 @@ from ..sizing import broadcast_if_small
 from .ranks import order_statistics
 
 # Up to this many rows a per-task top-n merge is the cheapest exact plan.
-TOP_N_ROWS = 100_000
+TOP_N_ROWS = 20_000
 
 
 def _first_by(df: DataFrame, n: int, rank_key: Column, order: list[Column]) -> DataFrame:

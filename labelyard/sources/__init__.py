@@ -3,3 +3,4 @@ from .fixtures import (  # noqa: F401
     IngestSpec, available_fixtures, build_manifest, fixture_detail, ingest, ingest_train,
     read_fixture, read_manifest, read_train, write_fixture, write_manifest,
 )
+from .datasets import DATASETS, TRAIN_ROWS  # noqa: F401

@@ -192,3 +192,19 @@ def test_task_side_scorer_matches_native_route(spark, texts, labels):
     raw = arms.classify_many(texts, schema, arms.lexical_scorer, system="lex")
     assert sorted((r["item_id"], r["labels"]) for r in arms.predictions_of(raw).collect()) == native
     assert schema_from_heads(spark, [Head("x", ["a"])]).count() == 1
+
+
+def test_dataset_specs_and_panel_tables(spark, tmp_path):
+    from labelyard.sources import DATASETS, ingest
+
+    rows = [(i, f"t{i}", i % 3 if i else None) for i in range(30)]
+    tweets = spark.createDataFrame(rows, "item_id long, tweet string, class int")
+    out = ingest(tweets, DATASETS["hate_speech"])
+    assert {r[0] for r in out.select("label").distinct().collect()} == {"oos", "hate_speech", "offensive", "neither"}
+    mail = spark.createDataFrame([(1, "x", 1, "spam"), (2, "y", None, "ham")], "item_id long, text string, label int, label_text string")
+    assert sorted(r["label"] for r in ingest(mail, DATASETS["enron_spam"]).collect()) == ["oos", "spam"]
+
+    result = score_panel(items_of(spark, ["a", "b"]), predictions_of(spark, s=["a", "a"]), {"s": "zero_shot"})
+    result.write(str(tmp_path / "panel"))
+    assert spark.read.parquet(str(tmp_path / "panel" / "systems")).count() == 2
+    assert spark.read.parquet(str(tmp_path / "panel" / "comparisons")).count() == 0
