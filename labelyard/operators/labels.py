@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ..functions.text import seed_order
+from ..functions.text import is_blank, seed_order
 from ..sizing import broadcast_if_small, take_bounded
 
 OUT_OF_SCOPE = "oos"
@@ -53,7 +53,7 @@ def label_descriptions(
     """One description per label: the last row with a non-blank one wins."""
     text = F.col(description)
     return (
-        items.filter(F.trim(text) != "")
+        items.filter(~is_blank(text))
         .groupBy(F.col(label).alias("label"))
         .agg(F.max_by(text, F.struct(F.col(order), text)).alias("description"))
     )

@@ -9,9 +9,10 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from ..sizing import broadcast_if_small
 
 # The sketch finds any rank within 1/ACCURACY of the group size; SLACK is ten
-# times that, so the wanted value always lies inside the bracket.
-ACCURACY = 100_000
-SLACK = 1e-4
+# times that, so the wanted value always lies inside the bracket. A sketch stays
+# well below a megabyte per task, and a bracket holds 2 * SLACK of a group.
+ACCURACY = 10_000
+SLACK = 1e-3
 # Up to this many rows the bracket is simply the whole group.
 SMALL_GROUP = 100_000
 

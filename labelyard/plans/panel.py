@@ -20,7 +20,7 @@ from ..operators.supervised import build_arm, timed_predictions
 from ..operators.usage import (
     cost_per_1k, latency_percentiles, reply_notes, reply_quality, timing_note, with_unusable,
 )
-from ..sizing import materialise, take_bounded
+from ..sizing import broadcast_if_small, materialise, take_bounded
 from ..types import MAX_LABELS, MAX_SYSTEMS, PANEL_COLUMNS, UNAVAILABLE
 
 METRIC = (
@@ -120,7 +120,9 @@ def score_panel(
     sliced = first_n(items, limit)
     if limit:
         sliced = materialise(sliced.select("item_id", "gold"), "slice")
-        predictions = predictions.join(sliced.select("item_id"), "item_id", "left_semi")
+        predictions = predictions.join(
+            broadcast_if_small(sliced.select("item_id")), "item_id", "left_semi"
+        )
     predictions = predictions.filter(F.col("system").isin(*roles))
     if verify:
         require_paired(predictions, sliced)
@@ -260,7 +262,7 @@ def run_panel(
             ]
             record = reply_record(F.col("content"), names)
             parsed = materialise(
-                replies.join(sliced.select("item_id"), "item_id", "left_semi")
+                replies.join(broadcast_if_small(sliced.select("item_id")), "item_id", "left_semi")
                 .withColumn("r", record)
                 .select(
                     F.lit(title).alias("system"), "item_id", "r.label", "latency_ms",

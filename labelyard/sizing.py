@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -77,9 +79,13 @@ def workspace(spark: SparkSession) -> str:
         return configured.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    import tempfile
+    return _local_folder().name
 
-    return tempfile.mkdtemp(prefix="labelyard-")
+
+@cache
+def _local_folder() -> tempfile.TemporaryDirectory:
+    """One folder per local process, removed when it ends."""
+    return tempfile.TemporaryDirectory(prefix="labelyard-", ignore_cleanup_errors=True)
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:

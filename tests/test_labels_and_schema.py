@@ -16,7 +16,7 @@ def test_request_validation(spark):
         schema_from_heads(spark, [Head("i", [])])
     with pytest.raises(ValueError, match="512"):
         schema_from_heads(spark, [Head("i", [f"l{i}" for i in range(513)])])
-    good, bad = split_blank(spark.createDataFrame([(1, " \n\t "), (2, None), (3, "x")], "item_id long, text string"))
+    good, bad = split_blank(spark.createDataFrame([(1, " \n\t\u00a0\u2003 "), (2, None), (3, "x")], "item_id long, text string"))
     assert good.count() == 1 and bad.select("reason").distinct().first()[0] == "text is empty"
 
 
@@ -61,7 +61,7 @@ def test_split_is_disjoint_exhaustive_and_stable(spark):
 
 
 def test_last_non_blank_description_wins(spark):
-    rows = [(1, "a", "old"), (2, "a", "new"), (3, "a", " "), (4, "b", ""), (5, "b", None)]
+    rows = [(1, "a", "old"), (2, "a", "new"), (3, "a", " \t\n"), (4, "b", ""), (5, "b", None)]
     df = spark.createDataFrame(rows, "item_id long, label string, description string")
     assert [tuple(r) for r in L.label_descriptions(df).collect()] == [("a", "new")]
 
