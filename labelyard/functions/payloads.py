@@ -20,60 +20,68 @@ def label_set_of(*labels: Column) -> Column:
 
 
 def _kind(v: Column) -> Column:
-    """OBJECT, ARRAY, VOID or SCALAR."""
-    shape = F.schema_of_variant(v)
-    return (
-        F.when(v.isNull() | F.is_variant_null(v), "VOID")
-        .when(shape.startswith("OBJECT"), "OBJECT")
-        .when(shape.startswith("ARRAY"), "ARRAY")
-        .otherwise("SCALAR")
-    )
+    """First letter of the VARIANT type: O(bject), A(rray), V(oid) or a scalar's."""
+    return F.coalesce(F.substring(F.schema_of_variant(v), 1, 1), F.lit("V"))
+
+
+def _typed(values: Column) -> Column:
+    # The kind is looked up once per value, since it is asked for several times.
+    return F.transform(values, lambda v: F.struct(v.alias("v"), _kind(v).alias("k")))
 
 
 def _scalar_text(v: Column) -> Column:
     return F.try_variant_get(v, "$", "string")
 
 
+def _none() -> Column:
+    return F.array().cast("array<variant>")
+
+
 def _elements(v: Column) -> Column:
-    return F.coalesce(
-        F.try_variant_get(v, "$", "array<variant>"), F.array().cast("array<variant>")
-    )
+    return F.coalesce(F.try_variant_get(v, "$", "array<variant>"), _none())
 
 
-def _step(v: Column) -> Column:
+def _open(t: Column) -> Column:
     """Open one level of nesting: the members of a container, else the value itself."""
-    kind = _kind(v)
-    label = F.try_variant_get(v, "$.label", "variant")
-    labels = F.try_variant_get(v, "$.labels", "variant")
-    empty = F.array().cast("array<variant>")
+    v, kind = t["v"], t["k"]
+    # "label" wins over "labels", which may be a list or one bare value
+    inner = F.coalesce(
+        F.try_variant_get(v, "$.label", "variant"), F.try_variant_get(v, "$.labels", "variant")
+    )
     return (
-        F.when(kind == "VOID", empty)
-        .when((kind == "OBJECT") & label.isNotNull(), F.array(label))
-        # "labels" may be a list or one bare value
-        .when((kind == "OBJECT") & labels.isNotNull(), F.array(labels))
-        .when(kind == "OBJECT", empty)
-        .when(kind == "ARRAY", _elements(v))
+        F.when(kind == "O", F.filter(F.array(inner), lambda x: x.isNotNull()))
+        .when(kind == "A", _elements(v))
+        .when(kind == "V", _none())
         .otherwise(F.array(v))
     )
 
 
+def _opened(payload: Column, depth: int) -> Column:
+    level = F.array(F.try_parse_json(payload))
+    for _ in range(depth):
+        level = F.flatten(F.transform(_typed(level), _open))
+    typed = _typed(level)
+    values = F.transform(F.filter(typed, lambda t: t["k"] != "V"), lambda t: _scalar_text(t["v"]))
+    too_deep = F.raise_error(F.lit("label payload is nested too deeply")).cast("array<string>")
+    return F.when(F.exists(typed, lambda t: t["k"].isin("O", "A")), too_deep).otherwise(
+        label_array(values)
+    )
+
+
 def normalise_payload(payload: Column, depth: int = 4) -> Column:
     """JSON payload text to a label array.
 
-    ``label`` wins over ``labels`` in an object. ``depth`` is the deepest nesting
-    that is opened; the accepted shapes need at most four levels. Deeper
-    payloads raise instead of losing labels.
+    ``depth`` is the deepest nesting that is opened; the accepted shapes need at
+    most four levels. Deeper payloads raise instead of losing labels. A payload
+    cannot be nested deeper than it has opening brackets, so the common flat
+    shapes take the short way.
     """
-    level = F.array(F.try_parse_json(payload))
-    for _ in range(depth):
-        level = F.flatten(F.transform(level, _step))
-    left = F.exists(level, lambda v: _kind(v).isin("OBJECT", "ARRAY"))
-    values = F.transform(
-        F.filter(level, lambda v: _kind(v) != "VOID"), _scalar_text
+    brackets = F.length(payload) - F.length(F.translate(payload, "[{", ""))
+    return (
+        F.when(brackets == 0, _opened(payload, 0))
+        .when(brackets == 1, _opened(payload, 1))
+        .otherwise(_opened(payload, depth))
     )
-    return F.when(
-        left, F.raise_error(F.lit("label payload is nested too deeply")).cast("array<string>")
-    ).otherwise(label_array(values))
 
 
 def clean_confidence(value: Column) -> Column:
@@ -87,16 +95,6 @@ def min_confidence(values: Column) -> Column:
     return F.array_min(F.filter(F.transform(values, clean_confidence), lambda c: c.isNotNull()))
 
 
-def _entry_label(v: Column) -> Column:
-    return F.when(_kind(v) == "OBJECT", F.try_variant_get(v, "$.label", "string")).otherwise(
-        _scalar_text(v)
-    )
-
-
-def _entry_confidence(v: Column) -> Column:
-    return F.when(_kind(v) == "OBJECT", F.try_variant_get(v, "$.confidence", "string"))
-
-
 def parse_predictions(df: DataFrame, payload: str, keep: list[str]) -> DataFrame:
     """Explode ``{head: value}`` payload text into one row per head.
 
@@ -105,16 +103,21 @@ def parse_predictions(df: DataFrame, payload: str, keep: list[str]) -> DataFrame
     """
     heads = F.try_variant_get(F.try_parse_json(F.col(payload)), "$", "map<string,variant>")
     rows = df.select(*keep, F.explode(heads).alias("head", "value"))
-    value = F.col("value")
-    kind = _kind(value)
-    entries = (
-        F.when(kind == "VOID", F.array().cast("array<variant>"))
-        .when(kind == "ARRAY", _elements(value))
-        .otherwise(F.array(value))
-    )
-    return rows.select(
+    value, kind = F.col("value"), _kind(F.col("value"))
+    entries = _typed(F.when(kind == "A", _elements(value)).otherwise(F.array(value)))
+
+    def label(t: Column) -> Column:
+        return F.when(t["k"] == "O", F.try_variant_get(t["v"], "$.label", "string")).when(
+            t["k"] != "V", _scalar_text(t["v"])
+        )
+
+    def confidence(t: Column) -> Column:
+        return F.when(t["k"] == "O", F.try_variant_get(t["v"], "$.confidence", "string"))
+
+    parts = rows.select(*keep, "head", entries.alias("entries"))
+    return parts.select(
         *keep,
         "head",
-        label_array(F.transform(entries, _entry_label)).alias("labels"),
-        min_confidence(F.transform(entries, _entry_confidence)).alias("confidence"),
+        label_array(F.transform("entries", label)).alias("labels"),
+        min_confidence(F.transform("entries", confidence)).alias("confidence"),
     )
