@@ -10,9 +10,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..sizing import broadcast_if_small, take_bounded
 from ..types import HEADS, MAX_HEADS, MAX_LABELS
 
+# --- fixed values -------------------------------------------------------------
 DEFAULT_THRESHOLD = 0.4
-# Above this many labels, descriptions dominate the input of a scorer.
+# Above this many labels, descriptions dominate the input of a scorer. The figures
+# in the warning were published for a neural encoder.
 DESCRIBED_LABELS_WARN = 25
+INFLATION_WARNING = "note: descriptions inflate input ~3.9x here (measured ~8.6x slower)"
+# --------------------------------------------------------------------------------
 
 
 @dataclass(frozen=True)
@@ -165,6 +169,6 @@ def inflation_note(schema: DataFrame) -> DataFrame:
         F.concat(F.lit("schema: "), n.cast("string"), F.lit(" labels")).alias("note"),
         F.when(
             (F.count("description") > 0) & (n > DESCRIBED_LABELS_WARN),
-            "note: descriptions inflate input ~3.9x here (measured ~8.6x slower)",
+            INFLATION_WARNING,
         ).alias("warning"),
     )

@@ -23,6 +23,7 @@ from ..operators.usage import (
 from ..sizing import broadcast_if_small, materialise, take_bounded
 from ..types import MAX_LABELS, MAX_SYSTEMS, PANEL_COLUMNS, UNAVAILABLE
 
+# Fixed value: the description of the metric that goes with every panel.
 METRIC = (
     "exact-set match (a prediction is correct only if the label set equals the reference)"
 )

@@ -2,7 +2,6 @@ import hashlib
 import json
 
 import pytest
-from pyspark.sql import functions as F
 
 from labelyard.operators import labels as L
 from labelyard.operators import sampling
