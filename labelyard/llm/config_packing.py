@@ -20,7 +20,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
-from labelyard.llm.workers import per_worker
+from labelyard.llm.workers import per_worker, slices
 from labelyard.sizing import materialise
 
 CAPACITY = 2048
@@ -112,13 +112,6 @@ class TextIds:
             yield gathered[start:stop] if ok else self.whole(text)
 
 
-def slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
-    """Runs of rows with at most about ``most`` bytes of text, as (start, count)."""
-    size = np.cumsum(np.nan_to_num(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(float)))
-    bounds = np.concatenate([[0], np.flatnonzero(np.diff(size // most)) + 1, [len(texts)]])
-    yield from ((int(a), int(b - a)) for a, b in zip(bounds[:-1], bounds[1:]) if b > a)
-
-
 def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, separator: int = 0, with_ids: bool = False) -> DataFrame:
     """Pieces of at most ``capacity`` tokens; a document is its ids and then ``separator``.
 
@@ -129,7 +122,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, sepa
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, end = per_worker(("tokenizer", tokenizer), lambda: TextIds(tokenizer)), np.array([separator], dtype="<u4").tobytes()
         for batch in batches:
-            for start, n in slices(batch.column(1)):
+            for start, n in slices(batch.column(1), SLICE_BYTES):
                 part = batch.slice(start, n)
                 yield _pieces(part.column(0).to_pylist(), ids.of([t or "" for t in part.column(1).to_pylist()]), end, capacity, with_ids)
 

@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from labelyard.llm import bloom_lines, config_packing, poisson_mix, slot_shards
+from labelyard.llm import (
+    bloom_lines, config_packing, hamming_topk, poisson_mix, robust_quality, slot_shards, token_groups,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -33,6 +35,31 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+@query("""
+WITH codes AS (
+  SELECT vec_id, list_sum(list_transform(range(0, 32), lambda i: CASE WHEN embedding[i + 1]::DOUBLE + embedding[i + 33]::DOUBLE > 0 THEN 1::BIGINT << i ELSE 0 END))::BIGINT AS code
+  FROM embeddings),
+pairs AS (
+  SELECT q.vec_id AS query_id, r.vec_id AS neighbour_id, bit_count(xor(q.code, r.code))::INT AS distance
+  FROM codes q JOIN codes r ON q.vec_id % 100 = 0 AND q.vec_id <> r.vec_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbour_id)::INT AS rank FROM pairs)
+SELECT * FROM ranked WHERE rank <= 10
+""")
+def op1_hamming_topk(spark, sf):
+    rows = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), hamming_topk.sign_code("embedding").alias("code"))
+    return hamming_topk.nearest(rows, rows.filter(F.col("id") % 100 == 0), k=10)
+
+
+@query()
+def op2_robust_quality(spark, sf):
+    return robust_quality.judged(table(spark, sf, "documents"))
+
+
+@query()
+def op4_token_groups(spark, sf):
+    return token_groups.near_duplicates(table(spark, sf, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 @query()
 def op5_config_packing(spark, sf):
     return config_packing.pack_documents(table(spark, sf, "documents"), tokenizer_path())
