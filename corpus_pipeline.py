@@ -5,16 +5,46 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from labelyard.llm import bloom_lines, config_packing, poisson_mix
+from labelyard.llm import bloom_lines, config_packing, poisson_mix, robust_quality, token_groups
 from labelyard.llm.entries import tokenizer_path
 from labelyard.sizing import workspace
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
-STAGES: list[tuple[str, Stage]] = []
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules reject go."""
+    return robust_quality.judged(docs, COLUMNS).filter("kept").select(*COLUMNS)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that many documents share stay in one of them; every document stays."""
+    kept = bloom_lines.drop_repeated_lines(docs)
+    return kept.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays, the one with the smallest id."""
+    return token_groups.one_of_each(docs).select(*COLUMNS)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources are brought to their target weights; a document may come several times or not at all."""
+    return poisson_mix.replicate(docs, poisson_mix.source_rates(docs)).select(*COLUMNS)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of tokens and their places in sequences; repeated documents are packed one by one."""
+    return config_packing.pack_documents(docs, tokenizer_path())
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("quality", quality), ("lines", lines), ("near_duplicates", near_duplicates), ("mixing", mixing), ("packing", packing),
+]
 
 #: Robust estimates and token packing are not expressible in SQL.
 ORACLE_SQL = None

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from labelyard.llm import (
-    bloom_lines, config_packing, hamming_topk, poisson_mix, robust_quality, slot_shards, token_groups,
+    bloom_lines, config_packing, gear_chunks, hamming_topk, poisson_mix, robust_quality, slot_shards, token_groups, toxicity_cnn,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -55,6 +55,12 @@ def op2_robust_quality(spark, sf):
     return robust_quality.judged(table(spark, sf, "documents"))
 
 
+@query()
+def op3_gear_chunks(spark, sf):
+    kept = gear_chunks.drop_repeated_passages(table(spark, sf, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_chunks", "spans", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 @query()
 def op4_token_groups(spark, sf):
     return token_groups.near_duplicates(table(spark, sf, "documents")).select("doc_id", "n_shingles", "component_id")
@@ -65,6 +71,11 @@ def op5_config_packing(spark, sf):
     return config_packing.pack_documents(table(spark, sf, "documents"), tokenizer_path())
 
 
+@query()
+def op6_toxicity_cnn(spark, sf):
+    return toxicity_cnn.toxicity(table(spark, sf, "documents"), table(spark, sf, "labels")).drop("lang")
+
+
 @query(r"""
 WITH params AS (SELECT 0.5 AS exponent, '17' AS seed),
 docs AS (SELECT *, coalesce(source, '\N') AS k FROM documents),

@@ -35,26 +35,47 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return up, down, mixed(lowered.astype(np.uint64) + np.uint64(1))
 
 
-def word_hashes(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def byte_hashes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the stretches of ``data`` from starts to stops, A-Z as lower case."""
+    n = len(data)
+    size = 1 << max(20, n.bit_length())
+    up, down, values = per_worker(("byte_powers", size), lambda: _powers(size))
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(values[data] * down[:n], out=sums[1:])
+    return mixed((sums[stops] - sums[starts]) * up[starts] + (stops - starts).astype(np.uint64))
+
+
+def blanks() -> np.ndarray:
+    """Which bytes separate words: 0x20 and 0x09-0x0D."""
+    table = np.zeros(256, bool)
+    table[[0x20, *range(0x09, 0x0E)]] = True
+    return table
+
+
+def word_hashes(data: np.ndarray, bounds: np.ndarray, separators: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words in ``data`` (bytes), and how many words start before each bound.
 
-    Words are runs without the bytes 0x20 and 0x09-0x0D; A-Z count as lower case. ``bounds`` are the
-    texts' offsets into ``data``, first and last included; no word crosses one.
+    Words are runs of bytes that do not separate. ``bounds`` are the texts' offsets into ``data``,
+    first and last included; no word crosses one.
     """
     n = len(data)
-    size = 1 << max(20, n.bit_length())
-    up, down, values = per_worker(("byte_powers", size), lambda: _powers(size))
-    solid = ~((data == 0x20) | ((data >= 0x09) & (data <= 0x0D)))
+    solid = ~separators[data]
     edge = np.zeros(n + 1, bool)
     edge[bounds] = True
     before = np.concatenate([[False], solid[:-1]]) if n else solid
     after = np.concatenate([solid[1:], [False]]) if n else solid
     starts = np.flatnonzero(solid & (~before | edge[:-1]))
     stops = np.flatnonzero(solid & (~after | edge[1:])) + 1
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(values[data] * down[:n], out=sums[1:])
-    hashes = mixed((sums[stops] - sums[starts]) * up[starts] + (stops - starts).astype(np.uint64))
-    return hashes, np.searchsorted(starts, bounds)
+    return byte_hashes(data, starts, stops), np.searchsorted(starts, bounds)
+
+
+def raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all texts and their offsets, first and last included; null is empty."""
+    texts = texts.cast(pa.large_string())
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + len(texts) + 1]
+    held = texts.buffers()[2]
+    data = np.frombuffer(held, np.uint8)[offsets[0]:offsets[-1]] if held and held.size else np.zeros(0, np.uint8)
+    return data, offsets - offsets[0]
 
 
 def shingle_sets(texts: pa.Array, k: int = WORDS_PER_SHINGLE) -> Iterator[np.ndarray]:
@@ -64,11 +85,9 @@ def shingle_sets(texts: pa.Array, k: int = WORDS_PER_SHINGLE) -> Iterator[np.nda
     """
     if not len(texts):
         return
-    texts = texts.cast(pa.large_string())
-    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + len(texts) + 1]
-    data = np.frombuffer(texts.buffers()[2], np.uint8)[offsets[0]:offsets[-1]] if texts.buffers()[2] else np.zeros(0, np.uint8)
+    data, offsets = raw(texts)
     valid = texts.is_valid().to_numpy(zero_copy_only=False)
-    words, at = word_hashes(data, offsets - offsets[0])
+    words, at = word_hashes(data, offsets, blanks())
     weights = [np.uint64(pow(0xD6E8FEB86659FD93, i + 1, 1 << 64)) for i in range(k)]
     if len(words) >= k:
         joined = words[:len(words) - k + 1] * weights[0]

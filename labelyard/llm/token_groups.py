@@ -251,7 +251,28 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         "set_id", "least", F.coalesce("component", "set_id").alias("component")
     )
     least = classes.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = classes.join(least, "component").select("set_id", "component_id")
+    named = classes.join(least, "component").select("set_id", "component", "component_id")
     return sets.join(named, "set_id", "left").select(
-        "doc_id", "text_key", "n_shingles", F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
+        "doc_id", "text_key", "component", "n_shingles", F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
     )
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """``docs`` with one row of each component, that of the smallest doc_id; all columns stay.
+
+    Rows without shingles all stay. Of equal rows with one id, one stays. Null ids come last.
+    """
+    found = materialise(near_duplicates(docs), "near-duplicates")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")
+    first = found.filter("component IS NOT NULL").groupBy("component").agg(F.min(order).alias("row")).select("row.doc_id", "row.text_key")
+    empty = found.filter("component IS NULL").select("doc_id", "text_key").distinct()
+    stays = first.withColumn("_single", F.lit(True)).unionByName(empty.withColumn("_single", F.lit(False))).select(
+        F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "_single"
+    )
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_key"))
+    kept = docs.join(stays.hint("shuffle_hash"), same)
+    equal = found.filter("component IS NOT NULL").groupBy("doc_id", "text_key").count().filter("count > 1")
+    if not equal.isEmpty():  # physical only: without equal rows there is nothing to choose
+        several = kept.filter("_single").dropDuplicates(["_id", "_key"])
+        kept = several.unionByName(kept.filter("NOT _single"))
+    return kept.select(*docs.columns)
