@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from labelyard.llm import (
-    bloom_lines, config_packing, gear_chunks, hamming_topk, poisson_mix, robust_quality, slot_shards, token_groups, toxicity_cnn,
+    bloom_lines, config_packing, gear_chunks, hamming_topk, poisson_mix, robust_quality, secret_crf, slot_shards, token_groups, toxicity_cnn,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -115,6 +115,12 @@ def op8_bloom_lines(spark, sf):
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+@query()
+def op9_secret_crf(spark, sf):
+    found = secret_crf.find_secrets(table(spark, sf, "documents"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
+
+
 @query()
 def op10_slot_shards(spark, sf):
     placed, _ = slot_shards.shard_documents(table(spark, sf, "documents"))
