@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from labelyard.llm.shingles import shingle_sets
 from labelyard.llm.workers import batches_of_texts
@@ -96,25 +96,30 @@ def token_sets(docs: DataFrame) -> DataFrame:
 
 # --- exact comparison ----------------------------------------------------------------------------
 
-def verified(docs: DataFrame, owners: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of set ids that link; ``owners`` names a row of ``docs`` for each set."""
-    pairs = materialise(pairs.select("a", "b"), "pairs")
-    needed = pairs.select("a").union(pairs.select("b")).distinct().join(owners, F.col("a") == F.col("set_id")).select(
+def _texts(docs: DataFrame, owners: DataFrame, needed: DataFrame) -> DataFrame:
+    """set_id, text of the sets in ``needed`` (one column); ``owners`` names a row of ``docs`` for each."""
+    needed = needed.toDF("_set").distinct().join(owners, F.col("_set") == F.col("set_id")).select(
         "set_id", F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")
     )
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key"))
-    texts = materialise(
-        rows.join(needed.hint("shuffle_hash"), same).select("set_id", "text").dropDuplicates(["set_id"]), "pair-texts"
-    )
+    return materialise(rows.join(needed.hint("shuffle_hash"), same).select("set_id", "text").dropDuplicates(["set_id"]), "set-texts")
+
+
+def linked(x: np.ndarray, y: np.ndarray) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= THRESHOLD * (len(x) + len(y) - both)
+
+
+def verified(docs: DataFrame, owners: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) of set ids that link."""
+    pairs = materialise(pairs.select("a", "b"), "pairs")
+    texts = _texts(docs, owners, pairs.select("a").union(pairs.select("b")))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for some in batches_of_texts(batch, 2):
-                links = []
-                for x, y in zip(shingle_sets(some.column(2)), shingle_sets(some.column(3))):
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    links.append(100 * both >= THRESHOLD * (len(x) + len(y) - both))
+                links = [linked(x, y) for x, y in zip(shingle_sets(some.column(2)), shingle_sets(some.column(3)))]
                 yield some.select([0, 1]).filter(pa.array(links, pa.bool_()))
 
     both = (
@@ -125,6 +130,48 @@ def verified(docs: DataFrame, owners: DataFrame, pairs: DataFrame) -> DataFrame:
     return both.mapInArrow(compare, "a long, b long")
 
 
+def opened(docs: DataFrame, owners: DataFrame, asking: DataFrame, members: DataFrame) -> DataFrame:
+    """Links (a, b) between the classes that ask for a group and its members, enough to connect them.
+
+    A row of the comparison is a group with a block of those that ask, about ``GROUP_SIZE`` each, so pairs
+    are not written out; pairs already connected within the row are passed over.
+    """
+    asking = materialise(asking.select("a", "group"), "asking")
+    blocks = asking.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / (2 * GROUP_SIZE)).alias("parts"))
+    members = members.join(asking.select("group").distinct(), "group").select("set_id", "group")
+    texts = _texts(docs, owners, asking.select("a").union(members.select("set_id")))
+    held = members.join(texts, "set_id").groupBy("group").agg(F.collect_list("set_id").alias("b"), F.collect_list("text").alias("texts_b"))
+    rows = (
+        asking.join(blocks, "group").withColumn("block", F.pmod(F.xxhash64("a", F.lit(7)), F.col("parts")))
+        .join(texts, F.col("a") == F.col("set_id")).groupBy("group", "block")
+        .agg(F.collect_list("a").alias("a"), F.collect_list("text").alias("texts_a"))
+        .join(held, "group").select("a", "texts_a", "b", "texts_b")
+    )
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            left, right = [], []
+            for row in range(batch.num_rows):
+                ids = [batch.column(i)[row].as_py() for i in (0, 2)]
+                sets = [list(shingle_sets(batch.column(i)[row].values)) for i in (1, 3)]
+                root: dict[int, int] = {}
+
+                def find(x: int) -> int:
+                    while root.get(x, x) != x:
+                        x = root[x]
+                    return x
+
+                for a, x in zip(ids[0], sets[0]):
+                    for b, y in zip(ids[1], sets[1]):
+                        if 100 * min(len(x), len(y)) >= THRESHOLD * max(len(x), len(y)) and find(a) != find(b) and linked(x, y):
+                            root[find(a)] = find(b)
+                            left.append(a)
+                            right.append(b)
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
+
+    return rows.mapInArrow(compare, "a long, b long")
+
+
 def _least_needed(n: Column, m: Column) -> Column:
     """Smallest intersection with which sets of n and m tokens link."""
     return F.ceil(F.lit(THRESHOLD) * (n + m) / F.lit(100.0 + THRESHOLD) - 1e-9)
@@ -173,54 +220,86 @@ def components(links: DataFrame, name: str = "labels") -> DataFrame:
 
 # --- the join -------------------------------------------------------------------------------------
 
-def _first_links(shared: DataFrame) -> DataFrame:
-    """For each class one likely partner: of the smallest class per token, the one met most often."""
-    met = (
-        shared.filter(F.col("set_id") != F.col("first")).groupBy("set_id", "first", "n").agg(F.count(F.lit(1)).alias("times"))
-        .groupBy("set_id", "n").agg(F.max(F.struct("times", "first")).alias("best"))
+def _likely(met: DataFrame) -> DataFrame:
+    """From set_id, n, first: for each class the partner met most often, if that is often enough."""
+    best = met.groupBy("set_id", "first", "n").agg(F.count(F.lit(1)).alias("times")).groupBy("set_id", "n").agg(
+        F.max(F.struct("times", "first")).alias("best")
     )
-    likely = F.col("best.times") * 3 >= F.col("n") * (100 - THRESHOLD) / 100.0
-    return met.filter(likely).select(F.col("set_id").alias("a"), F.col("best.first").alias("b"))
+    enough = F.col("best.times") * 3 >= F.col("n") * (100 - THRESHOLD) / 100.0
+    return best.filter(enough).select(F.col("set_id").alias("a"), F.col("best.first").alias("b"))
 
 
-def _open_groups(shared: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs of classes in different components whose group could not be ruled out."""
+def _mixed(shared: DataFrame, labels: DataFrame) -> DataFrame:
+    """``shared`` with component, for the tokens that classes of several components have."""
     placed = shared.join(labels, shared["set_id"] == labels["node"], "left").select(
-        "token", "set_id", "n", F.coalesce("component", "set_id").alias("component")
+        *shared.columns, F.coalesce("component", "set_id").alias("component")
+    )
+    several = placed.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("token")
+    return materialise(placed.join(several, "token"), "mixed-tokens")
+
+
+def _next_partners(mixed: DataFrame) -> DataFrame:
+    """set_id, n, first: for each token the most central class of another component."""
+    tops = mixed.groupBy("token", "component").agg(F.max_by("set_id", "centre").alias("top"), F.max("centre").alias("centre"))
+    order = Window.partitionBy("token").orderBy(F.desc("centre"), "component")
+    tops = tops.withColumn("_r", F.row_number().over(order)).filter("_r <= 2").groupBy("token").agg(
+        *[F.max(F.when(F.col("_r") == r, F.col(c))).alias(f"{c}{r}") for r in (1, 2) for c in ("top", "component")]
     )
-    mixed = placed.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("token")
-    placed = materialise(placed.join(mixed, "token"), "mixed-tokens")
-    members = placed.select("set_id", "n", "component").distinct().withColumn("band", F.floor(F.log(F.col("n").cast("double")) * 25))
-    sizes = members.groupBy("component", "band").agg(F.ceil(F.count(F.lit(1)) / GROUP_SIZE).alias("parts"))
-    members = materialise(
-        members.join(sizes, ["component", "band"]).select(
-            "set_id", "n", "component",
-            F.xxhash64("component", "band", F.pmod(F.xxhash64("set_id"), F.col("parts"))).alias("group"),
-        ), "group-members",
+    other = F.when(F.col("component") != F.col("component1"), F.col("top1")).otherwise(F.col("top2"))
+    return mixed.join(tops, "token").select("set_id", "n", other.alias("first"))
+
+
+def _groups(mixed: DataFrame, partners: DataFrame) -> DataFrame:
+    """set_id, n, own (size and id of its component) and group of every class.
+
+    A group is a part of a component, or of the single classes that have one likely partner's component
+    in common, of similar sizes, about ``GROUP_SIZE`` classes.
+    """
+    members = mixed.select("set_id", "n", "component").distinct()
+    weights = members.groupBy("component").agg(F.count(F.lit(1)).alias("weight"))
+    near = partners.select(F.col("a").alias("set_id"), "b").join(
+        members.select(F.col("set_id").alias("b"), F.col("component").alias("near")), "b"
+    ).select("set_id", "near")
+    family = F.when(F.col("weight") > 1, F.col("component")).otherwise(F.coalesce("near", "component"))
+    placed = members.join(weights, "component").join(near, "set_id", "left").withColumns({
+        "family": family, "single": F.col("weight") == 1, "band": F.floor(F.log(F.col("n").cast("double")) * 25),
+    })
+    key = ["family", "single", "band"]
+    parts = placed.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / GROUP_SIZE).alias("parts"))
+    return materialise(placed.join(parts, key).select(
+        "set_id", "n", F.struct("weight", "component").alias("own"),
+        F.xxhash64(*key, F.pmod(F.xxhash64("set_id"), F.col("parts"))).alias("group"),
+    ), "group-members")
+
+
+def _asking(mixed: DataFrame, members: DataFrame) -> DataFrame:
+    """a, group: the classes and groups whose bound reaches what a link needs.
+
+    A class asks the groups that hold a component no smaller than its own, and another one; so of two
+    classes of different components one asks for the other's group.
+    """
+    about = members.groupBy("group").agg(
+        F.min("n").alias("low"), F.max("n").alias("high"), F.max("own").alias("most"), F.min("own").alias("least")
     )
-    ranges = members.groupBy("group").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    matrix = placed.join(members.select("set_id", "group"), "set_id").groupBy("token", "group", "component").agg(F.count(F.lit(1)).alias("_n"))
-    rows = matrix.join(ranges, "group").select("token", "group", F.col("component").alias("other"), "low", "high")
+    known = mixed.select("token", "set_id").join(members, "set_id")
+    matrix = known.select("token", "group").distinct().join(about, "group")
     low = F.greatest(F.col("low"), F.ceil(F.col("n") * THRESHOLD / 100.0 - 1e-9))
     high = F.least(F.col("high"), F.floor(F.col("n") * 100.0 / THRESHOLD + 1e-9))
-    bounds = (
-        placed.join(rows, "token").filter((F.col("component") < F.col("other")) & (low <= high))
-        .groupBy("set_id", "n", "group", "low", "high").agg(F.count(F.lit(1)).alias("shared"))
+    asks = (F.col("own") <= F.col("most")) & ~((F.col("own") == F.col("least")) & (F.col("own") == F.col("most")))
+    return (
+        known.select("token", F.col("set_id").alias("a"), "n", "own").join(matrix, "token").filter(asks & (low <= high))
+        .groupBy("a", "n", "group", "low", "high").agg(F.count(F.lit(1)).alias("shared"))
         .filter(_most_shared(F.col("shared"), F.col("n"), high) >= _least_needed(F.col("n"), low))
+        .select("a", "group")
     )
-    opened = bounds.select(F.col("set_id").alias("a"), F.col("n").alias("n_a"), "group").join(
-        members.select(F.col("set_id").alias("b"), F.col("n").alias("n_b"), "group"), "group"
-    )
-    near = (F.col("n_a") * 100 >= F.col("n_b") * THRESHOLD) & (F.col("n_b") * 100 >= F.col("n_a") * THRESHOLD)
-    return opened.filter(near & (F.col("a") != F.col("b"))).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id (smallest doc_id reachable by links) of every row.
 
     Links between classes are found in two steps. The first compares each class with one likely
-    partner and joins what links into components, so that a large family of copies costs one
-    comparison a member. The second, which makes the result complete, looks through the matrix for
+    partner, twice, and joins what links into components, so that a large family of copies costs
+    two comparisons a member. The second, which makes the result complete, looks through the matrix for
     groups of other components only.
 
     A null or empty text, or one without words, has no shingles, links with nothing and has its own
@@ -241,12 +320,22 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         .select("set_id", F.col("n_shingles").alias("n"), F.explode("prefix").alias("token"))
     )
     postings = materialise(postings, "postings")
-    tokens = postings.groupBy("token").agg(F.min("set_id").alias("first"), F.max("set_id").alias("last")).filter("first < last")
-    shared = materialise(postings.join(tokens.select("token", "first"), "token"), "shared-tokens")
-    first = materialise(verified(docs, owners, _first_links(shared)), "first-links")
-    labels = components(first, "first-labels")
-    more = verified(docs, owners, _open_groups(shared, labels))
-    labels = components(first.union(more), "labels")
+    tokens = postings.groupBy("token").agg(F.count(F.lit(1)).alias("often")).filter("often > 1")
+    shared = materialise(postings.join(tokens, "token"), "shared-tokens")
+    # The class whose tokens are the most common is the one most others can link with.
+    spread = F.shiftleft(F.sum("often"), 20) + F.pmod(F.xxhash64("set_id"), F.lit(1 << 20))
+    centres = shared.groupBy("set_id").agg(spread.alias("centre"))
+    shared = materialise(shared.join(centres, "set_id").select("token", "set_id", "n", "centre"), "shared-tokens")
+    firsts = shared.groupBy("token").agg(F.max_by("set_id", "centre").alias("first"))
+    met = shared.join(firsts, "token").filter(F.col("set_id") != F.col("first"))
+    links = materialise(verified(docs, owners, _likely(met)), "links")
+    mixed = _mixed(shared, components(links, "first-labels"))
+    partners = materialise(_likely(_next_partners(mixed)), "partners")
+    links = links.union(materialise(verified(docs, owners, partners), "links"))
+    mixed = _mixed(mixed.drop("component"), components(links, "first-labels"))
+    members = _groups(mixed, partners)
+    more = materialise(opened(docs, owners, _asking(mixed, members), members), "links")
+    labels = components(links.union(more), "labels")
     classes = owners.select("set_id", "least").join(labels, F.col("set_id") == F.col("node"), "left").select(
         "set_id", "least", F.coalesce("component", "set_id").alias("component")
     )
