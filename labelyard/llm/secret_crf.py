@@ -2,8 +2,8 @@
 
 Tokens are tagged as begin, inside or outside of a secret from their shape, the words beside them and
 features of the file. The field is trained on a bounded sample in which the base patterns are
-the labels, so it learns what stands around secrets and what they look like. Decoding is by Viterbi
-over lines; a line that cannot hold a span by the scores of its tokens is passed over.
+the labels, so it learns what stands around secrets and what they look like. Decoding is by Viterbi;
+a text that cannot hold a span by the scores of its tokens is passed over.
 """
 
 from __future__ import annotations
@@ -108,7 +108,7 @@ class Field:
         return moves, start
 
     def viterbi(self, scores: np.ndarray) -> np.ndarray:
-        """The best tags of one line; ``scores`` has a row per token."""
+        """The best tags of one text; ``scores`` has a row per token."""
         moves, start = self.legal()
         best, back = start + scores[0], np.zeros(scores.shape, np.int64)
         for t in range(1, len(scores)):
@@ -222,17 +222,19 @@ class Scores(dict):
 
 def tagged(field: Field, known: Scores, texts: pa.Array) -> dict[int, list[tuple[int, int]]]:
     """Added spans, in code points, of the texts that have any; keys are places in ``texts``."""
-    lists = pc.ascii_split_whitespace(texts.cast(pa.large_string()).fill_null(""))
-    flat = lists.flatten()
-    if not len(flat):
+    trimmed = pc.ascii_trim_whitespace(texts.cast(pa.large_string()).fill_null(""))
+    lists = pc.ascii_split_whitespace(trimmed)
+    coded = lists.flatten().dictionary_encode()
+    if not len(coded):
         return {}
-    coded = flat.dictionary_encode()
     parts = np.frombuffer(b"".join(map(known.__getitem__, coded.dictionary.to_pylist())), "<f4").reshape(-1, 9)
     row = coded.indices.to_numpy(zero_copy_only=False)
     bounds = lists.offsets.to_numpy() - lists.offsets[0].as_py()
-    scores = parts[row, :3].copy()
-    scores[1:] += parts[row[:-1], 3:6]
-    scores[:-1] += parts[row[1:], 6:9]
+    inner = bounds[(bounds > 0) & (bounds < len(row))]
+    scores, from_left, from_right = parts[row, :3].copy(), parts[row[:-1], 3:6], parts[row[1:], 6:9]
+    from_left[inner - 1] = from_right[inner - 1] = 0  # nothing crosses from one text to the next
+    scores[1:] += from_left
+    scores[:-1] += from_right
     each, once = field.slack()
     gain = np.maximum(scores[:, B], scores[:, I]) - scores[:, O] + each
     file_ = np.maximum(field.weights[:, B], field.weights[:, I]) - field.weights[:, O]
@@ -243,7 +245,7 @@ def tagged(field: Field, known: Scores, texts: pa.Array) -> dict[int, list[tuple
     at_most = top + N_FILE * max(0.0, float(file_.max()))
     found: dict[int, list[tuple[int, int]]] = {}
     for at in some[(at_most > 0) | (at_most + once > 0)].tolist():
-        text = texts[at].as_py()
+        text = texts[at].as_py() or ""
         own = file_[file_features(text)].sum() + float(gain[bounds[at]:bounds[at + 1]].max())
         spans = _decode(field, known, text) if own > 0 or own + once > 0 else []
         if spans:
@@ -252,29 +254,21 @@ def tagged(field: Field, known: Scores, texts: pa.Array) -> dict[int, list[tuple
 
 
 def _decode(field: Field, known: Scores, text: str) -> list[tuple[int, int]]:
-    """Viterbi over each line that may hold a span."""
-    file_ = field.weights[file_features(text)].sum(axis=0)
-    each, once = field.slack()
+    """Viterbi over the tokens of a text."""
+    places = [m.span() for m in re.finditer(r"[^\x20\x09-\x0D]+", text)]
+    if not places:
+        return []
+    parts = np.frombuffer(b"".join([known[text[a:b]] for a, b in places]), "<f4").reshape(-1, 9).astype(np.float64)
+    scores = parts[:, :3] + field.weights[file_features(text)].sum(axis=0)
+    scores[1:] += parts[:-1, 3:6]
+    scores[:-1] += parts[1:, 6:9]
+    tags = field.viterbi(scores)
     spans = []
-    at = 0
-    for line in text.split("\n"):
-        places = [(m.start() + at, m.end() + at) for m in re.finditer(r"[^\x20\x09-\x0D]+", line)]
-        at += len(line) + 1
-        if not places:
-            continue
-        parts = np.frombuffer(b"".join([known[text[a:b]] for a, b in places]), "<f4").reshape(-1, 9).astype(np.float64)
-        scores = parts[:, :3] + file_
-        scores[1:] += parts[:-1, 3:6]
-        scores[:-1] += parts[1:, 6:9]
-        gain = np.maximum(scores[:, B], scores[:, I]) - scores[:, O] + each
-        if gain.max() <= 0 and gain.max() + once <= 0:
-            continue
-        tags = field.viterbi(scores)
-        for t in np.flatnonzero(tags == B).tolist():
-            end = t
-            while end + 1 < len(tags) and tags[end + 1] == I:
-                end += 1
-            spans.append((places[t][0], places[end][1]))
+    for t in np.flatnonzero(tags == B).tolist():
+        end = t
+        while end + 1 < len(tags) and tags[end + 1] == I:
+            end += 1
+        spans.append((places[t][0], places[end][1]))
     return spans
 
 
