@@ -21,7 +21,7 @@ from labelyard.sizing import materialise
 BLANK = b"\x20\x09\x0a\x0b\x0c\x0d"
 #: Bits for each expected line, hash functions, and the largest filter; a fuller filter only lets
 #: more lines be counted.
-BITS_PER_LINE, HASHES, LARGEST_BITS = 16, 2, 1 << 28
+BITS_PER_LINE, HASHES, LARGEST_BITS = 8, 2, 1 << 28
 SEGMENT_BITS = 1 << 18
 KEY = "digest binary, doc_id long"
 
@@ -50,29 +50,23 @@ def filter_bits(lines: int, bits_per_line: int = BITS_PER_LINE, largest: int = L
     return min(largest, max(SEGMENT_BITS, 1 << (max(1, lines * bits_per_line) - 1).bit_length()))
 
 
-class Seen:
-    """Once-seen and twice-seen filters of one task, merged with those of others by position."""
+def segments(digests: list[bytes], bits: int) -> Iterator[tuple[int, bytes, bytes]]:
+    """Once-seen and twice-seen filters of one task, as packed stretches that have any bit.
 
-    def __init__(self, bits: int):
-        self.bits = bits
-        self.once, self.twice = np.zeros(bits, dtype=bool), np.zeros(bits, dtype=bool)
-
-    def add(self, digests: list[bytes]) -> None:
-        """Digests of a batch, each at most once per document."""
-        if not digests:
-            return
-        found, times = np.unique(np.array(digests, dtype="S16").view("V16"), return_counts=True)
-        at = positions(found, self.bits)
-        known = self.once[at].all(axis=1) | (times > 1)
-        self.twice[at[known].ravel()] = True
-        self.once[at.ravel()] = True
-
-    def segments(self) -> Iterator[tuple[int, bytes, bytes]]:
-        """For each stretch of the filters with any bit: its number and the packed bits."""
-        for number, start in enumerate(range(0, self.bits, SEGMENT_BITS)):
-            once = self.once[start:start + SEGMENT_BITS]
-            if once.any():
-                yield number, np.packbits(once).tobytes(), np.packbits(self.twice[start:start + SEGMENT_BITS]).tobytes()
+    ``digests`` are those of all its documents, each at most once per document. Only one stretch is
+    held unpacked at a time.
+    """
+    found, times = np.unique(np.array(digests, dtype="S16").view("V16"), return_counts=True)
+    at = positions(found, bits)
+    once, twice = np.unique(at), np.unique(at[times > 1])
+    for number in np.unique(once // SEGMENT_BITS).tolist():
+        packed = []
+        for held in (once, twice):
+            here = np.zeros(SEGMENT_BITS, dtype=bool)
+            a, b = np.searchsorted(held, [number * SEGMENT_BITS, (number + 1) * SEGMENT_BITS])
+            here[held[a:b] - number * SEGMENT_BITS] = True
+            packed.append(np.packbits(here).tobytes())
+        yield number, *packed
 
 
 def _digests(text: str | None, least: int) -> set[bytes]:
@@ -86,15 +80,13 @@ def twice_seen(docs: DataFrame, bits: int, least: int) -> bytes:
     bits per position of its segments and reads the rest as a stream.
     """
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = Seen(bits)
+        digests: list[bytes] = []
         for batch in batches:
             for text in batch.column(0):
-                seen.add(list(_digests(text.as_py(), least)))
-        rows = list(seen.segments())
-        for i in range(0, len(rows), 64):
+                digests += _digests(text.as_py(), least)
+        for row in segments(digests, bits) if digests else ():
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(zip(*rows[i:i + 64]), (pa.int32(), pa.binary(), pa.binary()))],
-                ["segment", "once", "twice"],
+                [pa.array([x], t) for x, t in zip(row, (pa.int32(), pa.binary(), pa.binary()))], ["segment", "once", "twice"]
             )
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -26,7 +26,7 @@ from labelyard.sizing import materialise
 CAPACITY = 2048
 ITERATIONS = 40
 #: Words whose ids a worker keeps; beyond, it starts anew.
-CACHED_WORDS = 600_000
+CACHED_WORDS = 250_000
 BUCKETS = 64
 SLICE_BYTES = 32 << 20
 

@@ -65,13 +65,13 @@ def _bits(digests: np.ndarray, bits: int) -> np.ndarray:
 def _filter_of(digests: DataFrame, bits: int) -> bytes:
     """A Bloom filter of the digests, built in tasks and merged by segment."""
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros(bits, bool)
-        for batch in batches:
-            held[_bits(batch.column(0).to_numpy(), bits).ravel()] = True
-        for number, start in enumerate(range(0, bits, SEGMENT_BITS)):
-            if held[start:start + SEGMENT_BITS].any():
-                packed = np.packbits(held[start:start + SEGMENT_BITS]).tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([packed], pa.binary())], ["segment", "bits"])
+        held = np.unique(np.concatenate([_bits(b.column(0).to_numpy(), bits).ravel() for b in batches] or [np.zeros(0, np.int64)]))
+        for number in np.unique(held // SEGMENT_BITS).tolist():
+            here = np.zeros(SEGMENT_BITS, bool)
+            a, b = np.searchsorted(held, [number * SEGMENT_BITS, (number + 1) * SEGMENT_BITS])
+            here[held[a:b] - number * SEGMENT_BITS] = True
+            packed = np.packbits(here).tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([packed], pa.binary())], ["segment", "bits"])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}

@@ -36,7 +36,7 @@ FEATURES = 1 << 14
 O, B, I = range(3)
 #: Training: the most documents with and without a base match, tokens to each side, steps and rate.
 SAMPLE_DOCS, AROUND, STEPS, RATE, DECAY = 600, 12, 60, 0.5, 1e-3
-CACHED_TOKENS = 400_000
+CACHED_TOKENS = 250_000
 
 
 def base_spans(text: str) -> list[tuple[int, str, int]]:
