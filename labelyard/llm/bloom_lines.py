@@ -103,8 +103,8 @@ def twice_seen(docs: DataFrame, bits: int, least: int) -> bytes:
         for number, held in twice.items():
             yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([held.tobytes()], pa.binary())], ["segment", "twice"])
 
-    segments = docs.select("text").mapInArrow(build, "segment int, once binary, twice binary")
-    merged = segments.repartition(max(1, min(bits // SEGMENT_BITS, 64)), "segment").mapInArrow(merge, "segment int, twice binary")
+    parts = docs.select("text").mapInArrow(build, "segment int, once binary, twice binary")
+    merged = parts.repartition(max(1, min(bits // SEGMENT_BITS, 64)), "segment").mapInArrow(merge, "segment int, twice binary")
     whole = bytearray(bits // 8)
     for row in merged.toLocalIterator():
         start = row["segment"] * (SEGMENT_BITS // 8)
