@@ -281,16 +281,23 @@ def _asking(mixed: DataFrame, members: DataFrame) -> DataFrame:
     about = members.groupBy("group").agg(
         F.min("n").alias("low"), F.max("n").alias("high"), F.max("own").alias("most"), F.min("own").alias("least")
     )
-    known = mixed.select("token", "set_id").join(members, "set_id")
-    matrix = known.select("token", "group").distinct().join(about, "group")
+    known = mixed.select("token", "pos", "set_id").join(members, "set_id")
+    matrix = known.groupBy("token", "group").agg(F.min("pos").alias("pos_g")).join(about, "group")
     low = F.greatest(F.col("low"), F.ceil(F.col("n") * THRESHOLD / 100.0 - 1e-9))
     high = F.least(F.col("high"), F.floor(F.col("n") * 100.0 / THRESHOLD + 1e-9))
     asks = (F.col("own") <= F.col("most")) & ~((F.col("own") == F.col("least")) & (F.col("own") == F.col("most")))
+    # Sets that link share one of their first (size - least intersection + 1) tokens.
+    early = (F.col("pos") <= F.col("n") - _least_needed(F.col("n"), low)) & (F.col("pos_g") <= high - _least_needed(F.col("n"), high))
+    met = materialise(
+        known.select("token", "pos", F.col("set_id").alias("a"), "n", "own").join(matrix, "token")
+        .filter(asks & (low <= high) & early).select("a", "group").distinct(), "met-groups",
+    )
+    unions = matrix.groupBy("group", "low", "high").agg(F.collect_list("token").alias("union"))
+    queries = known.groupBy(F.col("set_id").alias("a"), "n").agg(F.collect_list("token").alias("tokens"))
+    shared = F.size(F.array_intersect("tokens", "union"))
     return (
-        known.select("token", F.col("set_id").alias("a"), "n", "own").join(matrix, "token").filter(asks & (low <= high))
-        .groupBy("a", "n", "group", "low", "high").agg(F.count(F.lit(1)).alias("shared"))
-        .filter(_most_shared(F.col("shared"), F.col("n"), high) >= _least_needed(F.col("n"), low))
-        .select("a", "group")
+        met.join(queries, "a").join(unions, "group")
+        .filter(_most_shared(shared, F.col("n"), high) >= _least_needed(F.col("n"), low)).select("a", "group")
     )
 
 
@@ -317,7 +324,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         sets.join(owners.select("set_id", F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")), "set_id")
         .filter(F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key")))
         .dropDuplicates(["set_id"])
-        .select("set_id", F.col("n_shingles").alias("n"), F.explode("prefix").alias("token"))
+        .select("set_id", F.col("n_shingles").alias("n"), F.posexplode("prefix").alias("pos", "token"))
     )
     postings = materialise(postings, "postings")
     tokens = postings.groupBy("token").agg(F.count(F.lit(1)).alias("often")).filter("often > 1")
@@ -325,7 +332,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # The class whose tokens are the most common is the one most others can link with.
     spread = F.shiftleft(F.sum("often"), 20) + F.pmod(F.xxhash64("set_id"), F.lit(1 << 20))
     centres = shared.groupBy("set_id").agg(spread.alias("centre"))
-    shared = materialise(shared.join(centres, "set_id").select("token", "set_id", "n", "centre"), "shared-tokens")
+    shared = materialise(shared.join(centres, "set_id").select("token", "pos", "set_id", "n", "centre"), "shared-tokens")
     firsts = shared.groupBy("token").agg(F.max_by("set_id", "centre").alias("first"))
     met = shared.join(firsts, "token").filter(F.col("set_id") != F.col("first"))
     links = materialise(verified(docs, owners, _likely(met)), "links")
