@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from labelyard.llm.shingles import raw, word_hashes
-from labelyard.llm.workers import batches_of_texts, per_worker
+from labelyard.llm.workers import batches_of_texts, per_worker, slices
 
 BUCKET_BITS, DIMENSIONS, WIDTHS, FILTERS = 18, 8, (1, 2, 3), 8
 #: The most labelled rows of each class that training takes.
@@ -149,8 +149,13 @@ def train(texts: list[str], labels: np.ndarray, langs: list[str | None], rate_of
     which is not fitted; a language with fewer than five toxic texts there takes the common one.
     """
     rng = np.random.default_rng(SEED)
-    words, at = buckets(pa.array(texts, pa.large_string()))
-    docs = [words[a:b] for a, b in zip(at[:-1], at[1:])]
+    held = pa.array(texts, pa.large_string())
+    docs = []
+    for start, n in slices(held, 4 << 20):  # hashing keeps tables of the size of a slice
+        some, places = buckets(held.slice(start, n))
+        docs += [some[a:b] for a, b in zip(places[:-1], places[1:])]
+    words = np.concatenate(docs) if docs else np.zeros(0, np.int64)
+    at = np.concatenate([[0], np.cumsum([len(d) for d in docs])]).astype(np.int64)
     aside = np.arange(len(docs)) % 5 == 4
     fit = np.flatnonzero(~aside)
     model = _start([docs[i] for i in fit], labels[fit], rng)
