@@ -31,6 +31,8 @@ ADDED = "crf"
 KINDS = {name: at for at, name in enumerate([*(name for name, *_ in BASE), ADDED])}
 #: Long runs are looked for first, as most texts hold none.
 _LONG_HEX = re.compile(r"[0-9a-f]{24}")
+#: Parts of the key words of "assign", and the letters beyond A-Z that match one of theirs in either case.
+_KEY_PARTS, _OTHER_CASE = ("passw", "secret", "token", "api"), ("\u017f", "\u0130", "\u0131")
 
 FEATURES = 1 << 14
 O, B, I = range(3)
@@ -39,11 +41,19 @@ SAMPLE_DOCS, AROUND, STEPS, RATE, DECAY = 600, 12, 60, 0.5, 1e-3
 CACHED_TOKENS = 250_000
 
 
+def _may_assign(text: str) -> bool:
+    """False only for texts in which "assign" cannot match."""
+    if ":" not in text and "=" not in text:
+        return False
+    low = text.lower()
+    return any(part in low for part in _KEY_PARTS) or any(c in text for c in _OTHER_CASE)
+
+
 def base_spans(text: str) -> list[tuple[int, str, int]]:
     """(start, kind, end) of base matches in code points, by start and then as kinds are listed."""
     spans = []
     for kind, pattern, group, least in BASE:
-        if kind == "access" and "AKIA" not in text or kind == "hex" and not _LONG_HEX.search(text):
+        if kind == "access" and "AKIA" not in text or kind == "hex" and not _LONG_HEX.search(text) or kind == "assign" and not _may_assign(text):
             continue
         spans += [(m.start(), kind, m.end()) for m in pattern.finditer(text) if len(m[group]) >= least]
     return sorted(spans, key=lambda s: (s[0], KINDS[s[1]], s[2]))
@@ -59,26 +69,43 @@ _CLASSES = {**{c: "a" for c in map(chr, range(97, 123))}, **{c: "A" for c in map
 _SHAPES = str.maketrans(_CLASSES)
 _RUN = re.compile(r"(.)\1+")
 _HEX = re.compile(r"[0-9a-f]+")
-_MARKS = re.compile(r"^[\"'(\[{<]+|[\"')\]}>,;.!?]+$")
+_BEFORE, _BEHIND = "\"'([{<", "\"')]}>,;.!?"
 
 
 def _hashed(name: str) -> int:
     return zlib.crc32(name.encode("utf-8", "replace")) % FEATURES
 
 
-def token_features(token: str) -> tuple[list[int], int, int]:
-    """Features of a token itself, and the one it gives to the token after and before it."""
-    core = _MARKS.sub("", token)
-    shape = _RUN.sub(r"\1+", core[:64].translate(_SHAPES))[:12]
-    digits = sum(c.isdigit() for c in core[:64])
-    n = len(core)
+def _core(token: str) -> str:
+    """A token without the marks around it."""
+    return token.lstrip(_BEFORE).rstrip(_BEHIND)
+
+
+def _look(core: str) -> tuple:
+    """What a token looks like: shape, length, digits, variety, whether it is hexadecimal and assigns."""
+    n, shown = len(core), core[:64]
+    most = max(1, len(shown))
+    if core.isascii() and core.isalpha() and core.islower():  # most words
+        shape, digits, marks = "a+" if n > 1 else "a", 0, (False, False)
+    else:
+        shape = _RUN.sub(r"\1+", shown.translate(_SHAPES))[:12]
+        digits, marks = sum(map(str.isdigit, shown)), ("=" in core, ":" in core)
+    return shape, len(shown).bit_length(), 8 * digits // most, 8 * len(set(shown)) // most, _HEX.fullmatch(core) is not None, n >= 24, marks
+
+
+def _look_features(look: tuple) -> list[int]:
+    shape, length, digits, varied, is_hex, long_, (equals, colon) = look
     names = [
-        "shape " + shape, f"length {min(n, 64).bit_length()}", f"digits {8 * digits // max(1, min(n, 64))}",
-        f"varied {8 * len(set(core[:64])) // max(1, min(n, 64))} {min(n, 64).bit_length()}",
-        f"hex {bool(_HEX.fullmatch(core))} {n >= 24}", f"assigns {'=' in core} {':' in core}",
+        "shape " + shape, f"length {length}", f"digits {digits}", f"varied {varied} {length}", f"hex {is_hex} {long_}", f"assigns {equals} {colon}",
     ]
+    return [_hashed(x) for x in names]
+
+
+def token_features(token: str) -> tuple[list[int], int, int]:
+    """Features of a token itself, and the one it gives to the token after and before it."""
+    core = _core(token)
     word = core.lower()[:24]
-    return [_hashed(x) for x in names], _hashed("before " + word), _hashed("after " + word)
+    return _look_features(_look(core)), _hashed("before " + word), _hashed("after " + word)
 
 
 N_OWN, N_FILE = 6, 2
@@ -163,20 +190,21 @@ def train(texts: list[str]) -> Field:
         found = [(m.start(), m.end()) for m in re.finditer(r"[^\x20\x09-\x0D]+", text)]
         if not found:
             continue
-        tokens = [token_features(text[a:b]) for a, b in found]
         tags, open_ = [], None
         for a, b in found:
-            inside = next((s for s in spans if a < s[1] and b > s[0] and _MARKS.sub("", text[a:b])[-1:] != ":"), None)
-            value = inside is not None and (len(_MARKS.sub("", text[a:b])) >= 6)
+            inside = next((s for s in spans if a < s[1] and b > s[0] and _core(text[a:b])[-1:] != ":"), None)
+            value = inside is not None and (len(_core(text[a:b])) >= 6)
             tags.append((I if open_ == inside else B) if value else O)
             open_ = inside if value else None
         file_ = file_features(text)
         hits = [t for t, tag in enumerate(tags) if tag == B][:4]
-        centres = hits or [int(rng.integers(len(tokens)))]
+        centres = hits or [int(rng.integers(len(found)))]
         for c in centres:
-            window = range(max(0, c - AROUND), min(len(tokens), c + AROUND))
+            window = range(max(0, c - AROUND), min(len(found), c + AROUND))
+            beside = range(max(0, window.start - 1), min(len(found), window.stop + 1))
+            tokens = {t: token_features(text[slice(*found[t])]) for t in beside}
             rows.append([
-                [*tokens[t][0], tokens[t - 1][1] if t else 0, tokens[t + 1][2] if t + 1 < len(tokens) else 0, *file_] for t in window
+                [*tokens[t][0], tokens[t - 1][1] if t else 0, tokens[t + 1][2] if t + 1 < len(found) else 0, *file_] for t in window
             ])
             golds.append([tags[t] for t in window])
     field = Field(np.zeros((FEATURES, 3)), np.zeros((3, 3)), np.zeros(3))
@@ -210,13 +238,20 @@ class Scores(dict):
     def __init__(self, weights: np.ndarray):
         super().__init__()
         self._weights = weights
+        self._rows = [row.tobytes() for row in weights.astype("<f4")]
+        self._looks: dict[tuple, bytes] = {}
 
     def __missing__(self, token: str) -> bytes:
         if len(self) >= CACHED_TOKENS:
             self.clear()
-        own, before, after = token_features(token)
-        w = self._weights
-        self[token] = found = np.concatenate([w[own].sum(axis=0), w[before], w[after]]).astype("<f4").tobytes()
+            self._looks.clear()
+        core = _core(token)
+        look = _look(core)
+        own = self._looks.get(look)
+        if own is None:
+            own = self._looks[look] = self._weights[_look_features(look)].sum(axis=0).astype("<f4").tobytes()
+        word = core.lower()[:24]
+        self[token] = found = own + self._rows[_hashed("before " + word)] + self._rows[_hashed("after " + word)]
         return found
 
 
