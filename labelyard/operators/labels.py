@@ -5,16 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.text import is_blank, seed_order
-from ..sizing import broadcast_if_small, take_bounded
+from ..sizing import broadcast_if_small
+from .ranks import numbered
 
 OUT_OF_SCOPE = "oos"
-# Label sets are numbered in one window, so they are fetched with a bound: that reads
-# the items once and fails on a column that is not a label.
-NUMBERED_LABELS = 100_000
+# Up to this many labels are fetched, which reads the items once, and numbered in one window;
+# more are numbered in ranges. Both give the same numbers.
+FETCHED_LABELS = 20_000
 
 
 def _numbered(labels: DataFrame, order: list[Column], name: str) -> DataFrame:
-    rows = take_bounded(labels, NUMBERED_LABELS, "label set")
+    labels = labels.select("label")
+    rows = labels.limit(FETCHED_LABELS + 1).collect()
+    if len(rows) > FETCHED_LABELS:
+        return numbered(labels, order, name)
     known = labels.sparkSession.createDataFrame(rows, labels.schema)
     return known.withColumn(name, F.row_number().over(W.orderBy(*order)))
 
@@ -29,8 +33,9 @@ def label_set(items: DataFrame, label: str = "label") -> DataFrame:
 
 def label_index(items: DataFrame, label: str = "label") -> DataFrame:
     """Label to model index by sorted label, joined back to the items."""
-    index = label_set(items, label).withColumnRenamed("label", label)
-    return items.join(F.broadcast(index), label).withColumnRenamed("ord", "label_index")
+    index = label_set(items, label).select(F.col("label").alias("_label"), F.col("ord").alias("label_index"))
+    same = items[label].eqNullSafe(F.col("_label"))
+    return items.join(broadcast_if_small(index), same).select(*items.columns, "label_index")
 
 
 def class_counts(items: DataFrame, label: str = "label") -> DataFrame:

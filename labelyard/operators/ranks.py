@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ..sizing import broadcast_if_small
+from ..sizing import broadcast_if_small, materialise
 
 # The sketch finds any rank within 1/ACCURACY of the group size; SLACK is ten
 # times that, so the wanted value always lies inside the bracket. A sketch stays
@@ -27,6 +27,20 @@ def nearest_rank(q: float) -> Rank:
     return (q, lambda n: F.least(n - 1, F.floor(F.lit(q) * n)))
 
 
+def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """``df`` with the place of each row, from 1, in the total ``order``.
+
+    Rows are stored in ranges of the order; a range is numbered by itself, behind the counts
+    of the ranges before it, so no task holds more than a range.
+    """
+    ranges = materialise(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
+    counts = ranges.groupBy("_range").agg(F.count(F.lit(1)).alias("_rows"))
+    before = F.sum("_rows").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1))  # a row per range
+    offsets = broadcast_if_small(counts.select("_range", F.coalesce(before, F.lit(0)).alias("_before")))
+    place = F.row_number().over(W.partitionBy("_range").orderBy(*order)).cast("long") + F.col("_before")
+    return ranges.join(offsets, "_range").withColumn(name, place).select(*df.columns, name)
+
+
 def order_statistics(
     df: DataFrame, by: list[str], value: str, ranks: dict[str, Rank]
 ) -> DataFrame:

@@ -6,47 +6,32 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import seed_order
 from ..sizing import broadcast_if_small
-from .ranks import order_statistics
+from .ranks import numbered
 
 # Up to this many rows a per-task top-n merge is the cheapest exact plan.
 TOP_N_ROWS = 20_000
 
 
-def _first_by(df: DataFrame, n: int, rank_key: Column, order: list[Column]) -> DataFrame:
-    """First ``n`` rows by ``order``; ``rank_key`` is a long that is monotone in it."""
+def _first_by(df: DataFrame, n: int, order: list[Column]) -> DataFrame:
+    """First ``n`` rows by ``order``; NULL keys come first."""
     if n < 0:
         raise ValueError("the number of rows must not be negative")
     if n <= TOP_N_ROWS:
         return df.orderBy(*order).limit(n)
-    # A large sample is a range filter: find the key of the n-th row, keep all
-    # rows below it, and fill up from those that share it.
-    keyed = df.withColumn("_rank_key", rank_key)
-    share = min(1.0, n / max(1, df.count()))
-    cut_value = order_statistics(
-        keyed.select(F.lit(1).alias("_all"), "_rank_key"), ["_all"], "_rank_key",
-        {"cut": (share, lambda size: F.least(size - 1, F.lit(n - 1)))},
-    ).first()
-    if cut_value is None:
-        return df.limit(0)
-    key = F.col("_rank_key")
-    below = keyed.filter(key < cut_value["cut"])
-    missing = n - below.count()
-    at_cut = keyed.filter(key == cut_value["cut"]).orderBy(*order).limit(missing)
-    return below.unionByName(at_cut).drop("_rank_key")
+    # Beyond that no single task may hold the result: rows are numbered in ranges.
+    return numbered(df, order, "_place").filter(F.col("_place") <= n).drop("_place")
 
 
 def sample_n(df: DataFrame, n: int, seed: int = 0, key: str = "item_id") -> DataFrame:
     """Seeded shuffle, then the first ``n`` rows. Equal on any cluster and partitioning."""
-    order = seed_order(seed, F.col(key))
-    prefix = F.conv(F.substring(order, 1, 15), 16, 10).cast("long")
-    return _first_by(df, n, prefix, [order, F.col(key)])
+    return _first_by(df, n, [seed_order(seed, F.col(key)), F.col(key)])
 
 
 def first_n(df: DataFrame, n: int | None, key: str = "item_id") -> DataFrame:
     """The shared slice every system is scored on; ``None`` and 0 keep all rows."""
     if not n:
         return df
-    return _first_by(df, n, F.col(key), [F.col(key)])
+    return _first_by(df, n, [F.col(key)])
 
 
 def nested_subsets(

@@ -62,13 +62,38 @@ def require_paired(predictions: DataFrame, items: DataFrame) -> None:
 
 
 def score_items(predictions: DataFrame, items: DataFrame) -> DataFrame:
-    """Correctness per system and item: the predicted set must equal the gold set."""
-    scored = predictions.join(items.select("item_id", "gold"), "item_id").select(
-        "system", "item_id",
-        label_array(F.col("labels")).alias("labels"),
-        label_array(F.col("gold")).alias("gold"),
+    """Correctness per system and item: the predicted set must equal the gold set.
+
+    Answers and items meet in one shuffle, combined before it, with a column per system. The
+    same pass fails with "length mismatch" unless every system answered every item once.
+    """
+    systems = system_names(predictions)
+    none = F.lit(None).cast("array<string>")
+    rows = predictions.select("item_id", "system", F.col("labels").cast("array<string>").alias("labels"), none.alias("gold")).unionByName(
+        items.select("item_id", F.lit(None).cast("string").alias("system"), none.alias("labels"), F.col("gold").cast("array<string>").alias("gold"))
+    )
+    per_item = rows.groupBy("item_id").agg(
+        F.count_if(F.col("system").isNull()).alias("in_items"), F.max("gold").alias("gold"),
+        *[F.struct(
+            F.count_if(F.col("system") == s).alias("n"), F.max(F.when(F.col("system") == s, F.col("labels"))).alias("labels")
+        ).alias(f"s{i}") for i, s in enumerate(systems)],
+    )
+    answers = F.array(*[
+        F.struct(F.lit(s).alias("system"), F.col(f"s{i}.n").alias("n"), F.col(f"s{i}.labels").alias("labels"))
+        for i, s in enumerate(systems)
+    ]) if systems else F.array().cast("array<struct<system:string,n:bigint,labels:array<string>>>")
+    fault = F.when(
+        (F.col("a.n") != 1) | (F.col("in_items") != 1),
+        F.raise_error(F.concat_ws(
+            " ", F.lit("length mismatch:"), "a.system", F.lit("has"), F.col("a.n").cast("string"), F.lit("answers for item"),
+            F.coalesce(F.col("item_id").cast("string"), F.lit("NULL")), F.lit("listed"), F.col("in_items").cast("string"), F.lit("times"),
+        )).cast("boolean"),
     )
-    return scored.withColumn("correct", F.col("labels") == F.col("gold"))
+    labels, gold = label_array(F.col("a.labels")), label_array(F.col("gold"))
+    # A fault is part of every column that scores read, so column pruning keeps the check.
+    return per_item.select("item_id", "in_items", "gold", F.explode(answers).alias("a")).select(
+        F.when(fault.isNull(), F.col("a.system")).alias("system"), "item_id", labels.alias("labels"), gold.alias("gold"),
+    ).withColumn("correct", F.col("labels") == F.col("gold"))
 
 
 def tally(scored: DataFrame) -> DataFrame:

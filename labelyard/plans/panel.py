@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
+from pyspark.errors import SparkRuntimeException
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.replies import reply_record
@@ -13,7 +14,7 @@ from ..operators.route import route
 from ..operators.sampling import first_n
 from ..operators.schema import build_schema, inflation_note
 from ..operators.scoring import (
-    majority_floor, require_paired, score_items, system_scores, tally,
+    majority_floor, score_items, system_scores, tally,
 )
 from ..operators.stats import bootstrap_ci, compare_pairs, pair_cells
 from ..operators.supervised import build_arm, timed_predictions
@@ -107,7 +108,6 @@ def score_panel(
     notes: DataFrame | None = None,
     run_notes: Sequence[str] = (),
     unavailable: Sequence[tuple[str, str]] = (),
-    verify: bool = True,
     method: str = "exact",
 ) -> Panel:
     """Score prediction tables of any systems on one slice of ``items``.
@@ -125,9 +125,12 @@ def score_panel(
             broadcast_if_small(sliced.select("item_id")), "item_id", "left_semi"
         )
     predictions = predictions.filter(F.col("system").isin(*roles))
-    if verify:
-        require_paired(predictions, sliced)
-    scored = score_items(predictions, sliced)
+    try:  # stored, as it is read for the scores and again for the paired tests
+        scored = materialise(score_items(predictions, sliced), "scored")
+    except SparkRuntimeException as error:
+        if "length mismatch" in str(error):
+            raise ValueError(str(error)) from error
+        raise
     base = take_bounded(system_rows(scored, method=method), MAX_SYSTEMS, "list of systems")
     sizes = {r["name"]: r["n"] for r in base}
     rows = spark.createDataFrame(

@@ -12,12 +12,17 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.replies import reply_record
 from ..functions.text import is_blank
-from ..operators.route import route
+from ..operators.route import route, split_blank
 
 
 def route_stream(texts: DataFrame, schema: DataFrame, *, keep: list[str] | None = None) -> DataFrame:
-    """Route a stream of ``item_id, text``; blank texts are left out."""
-    return route(texts.filter(~is_blank(F.col("text"))), schema, keep=keep, strategy="inline")
+    """Route a stream of ``item_id, text``; blank texts are left out, see ``rejected_stream``."""
+    return route(texts.filter(~is_blank(F.col("text"))), schema, keep=keep)
+
+
+def rejected_stream(texts: DataFrame) -> DataFrame:
+    """The rows ``route_stream`` leaves out, with a reason."""
+    return split_blank(texts)[1]
 
 
 def stream_replies(replies: DataFrame, labels: Sequence[str]) -> DataFrame:

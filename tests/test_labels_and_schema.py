@@ -82,24 +82,50 @@ def test_samples(spark, monkeypatch):
         sampling.first_n(df, -1)
 
 
-def test_routing_strategies_agree(spark):
-    texts = ["refund refund my card", "lost card", "nothing here at all", "Café café refund", ""]
+@pytest.mark.parametrize("limit", [0, 1000])
+def test_slices_of_text_and_null_keys(spark, monkeypatch, limit):
+    monkeypatch.setattr(sampling, "TOP_N_ROWS", limit)
+    df = spark.createDataFrame([("b",), (None,), ("d",), ("a",), ("c",)], "item_id string").repartition(3)
+    assert {r[0] for r in sampling.first_n(df, 3).collect()} == {None, "a", "b"}
+    assert sampling.sample_n(df, 5).count() == 5
+
+
+@pytest.mark.parametrize("limit", [0, 1000])
+def test_label_numbers_hold_nulls_and_any_number_of_labels(spark, monkeypatch, limit):
+    monkeypatch.setattr(L, "FETCHED_LABELS", limit)
+    df = spark.createDataFrame([(1, "b"), (2, None), (3, "a"), (4, "b")], "item_id long, label string")
+    assert sorted((r["item_id"], r["label_index"]) for r in L.label_index(df).collect()) == [(1, 2), (2, 0), (3, 1), (4, 2)]
+
+
+def test_routing(spark):
+    texts = ["refund refund my card", "lost card", "nothing here at all", "Café café refund", "", None]
     items = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
     schema = schema_from_heads(spark, [
         Head("intent", ["refund_request", "card_lost", "cafe"], described={"refund_request": "refund money", "card_lost": "lost card", "cafe": "café"}),
         Head("topics", ["card", "refund"], multi_label=True, cls_threshold=0.3),
     ])
-    inline = sorted((r["item_id"], r["head"], r["labels"], r["confidence"]) for r in route(items, schema, strategy="inline").collect() if r["confidence"] is not None)
-    join = sorted((r["item_id"], r["head"], r["labels"], r["confidence"]) for r in route(items, schema, strategy="join").collect() if r["confidence"] is not None)
-    assert inline == join
-    all_rows = {(r["item_id"], r["head"]): (r["labels"], r["confidence"]) for r in route(items, schema, strategy="join").collect()}
-    assert len(all_rows) == 10
+    all_rows = {(r["item_id"], r["head"]): (r["labels"], r["confidence"]) for r in route(items, schema).collect()}
+    assert len(all_rows) == 12
+    for nothing in (4, 5):
+        assert all_rows[(nothing, "intent")] == (["refund_request"], None) and all_rows[(nothing, "topics")] == ([], None)
     assert all_rows[(0, "intent")] == (["refund_request"], pytest.approx(2 / 3))
     assert all_rows[(0, "topics")] == (["card", "refund"], pytest.approx(1 / 3))
     assert all_rows[(2, "intent")] == (["refund_request"], None) and all_rows[(2, "topics")] == ([], None)
     assert all_rows[(3, "intent")] == (["cafe"], pytest.approx(2 / 3))
 
 
+def test_routing_keeps_equal_ids_zero_thresholds_and_wide_schemas(spark):
+    items = spark.createDataFrame([(1, "red green"), (1, "red"), (2, "word299 word7 word7")], "item_id long, text string")
+    schema = schema_from_heads(spark, [
+        Head("all", ["red", "green", "blue"], multi_label=True, cls_threshold=0.0),
+        Head("wide", [f"word{i}" for i in range(300)]),
+    ])
+    rows = sorted((r["item_id"], r["head"], tuple(r["labels"]), r["confidence"]) for r in route(items, schema).collect() if r["confidence"] is not None)
+    every = ("blue", "green", "red")
+    assert rows == [(1, "all", every, 0.0), (1, "all", every, 0.0), (2, "wide", ("word7",), pytest.approx(2 / 3))]
+    assert route(items, schema).count() == 6
+
+
 def test_gate(spark):
     schema = schema_from_heads(spark, [Head("i", ["a", "b"]), Head("m", ["x"], multi_label=True)])
     rows = [(1, "i", ["a"], 0.5), (1, "m", ["x"], None), (2, "i", ["q"], 1.5), (2, "m", [], 0.1), (3, "i", ["b"], float("nan"))]

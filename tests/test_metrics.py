@@ -56,6 +56,14 @@ def test_mismatched_items_are_refused(spark):
     scoring.require_paired(predictions_of(spark, s=["a", "b", "c"]), items)
 
 
+@pytest.mark.parametrize("ids", [[0, 0], [0, 1], [0, 1, 2, 3], [0, 1, 2, 2]])
+def test_scores_refuse_skipped_invented_and_double_answers(spark, ids):
+    items = items_of(spark, ["a", "b", "c"])
+    answers = spark.createDataFrame([("s", i, ["a"]) for i in ids], "system string, item_id long, labels array<string>")
+    with pytest.raises(Exception, match="length mismatch"):
+        scoring.system_scores(scoring.tally(scoring.score_items(answers, items))).collect()
+
+
 def test_floor(spark):
     floor = scoring.majority_floor(items_of(spark, ["a"] * 7 + ["b"] * 2 + ["c"])).first()
     assert (floor["label"], floor["count"], floor["accuracy"]) == ("a", 7, 0.7)

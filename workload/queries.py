@@ -616,7 +616,7 @@ def route_multi_head(spark, sf):
 
 @query(s.route("documents", intent=10) + "SELECT item_id, label, round(confidence, 6) AS confidence FROM intent_ans")
 def route_wide_schema(spark, sf):
-    answers = route_ops.route(b.texts(spark, sf), b.language_schema(spark, intent=10), strategy="join")
+    answers = route_ops.route(b.texts(spark, sf), b.language_schema(spark, intent=10))
     return answers.select("item_id", joined("labels").alias("label"), r6("confidence").alias("confidence"))
 
 
@@ -997,7 +997,7 @@ def _panel(spark, sf) -> panel_plan.Panel:
     )
     return panel_plan.score_panel(
         b.documents(spark, sf), predictions, _ROLES, labels=b.language_labels(spark, ("en", "fr")),
-        name="documents", note="languages", notes=notes, verify=False,
+        name="documents", note="languages", notes=notes,
     )
 
 
