@@ -40,6 +40,12 @@ def test_csv_keeps_quotes_breaks_and_na(spark, tmp_path):
         read_train(spark, str(tmp_path / "absent.csv"))
 
 
+def test_manifest_counts_null_labels_as_empty(spark):
+    items = spark.createDataFrame([("a",), (None,), ("",)], "label string")
+    row = build_manifest(items, "t").first()
+    assert (row["n"], row["n_labels"], row["labels"], row["class_counts"]) == (3, 2, ["", "a"], {"": 2, "a": 1})
+
+
 def test_manifest_files(spark, texts, tmp_path):
     assert read_manifest(spark, str(tmp_path / "x.manifest.json")) is None
     assert available_fixtures(spark, str(tmp_path)).count() == 0
