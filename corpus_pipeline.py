@@ -12,6 +12,8 @@ from labelyard.llm.entries import tokenizer_path
 from labelyard.sizing import workspace
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Near copies share this percentage of their shingles of so many words at least.
+NEAR_WORDS, NEAR_THRESHOLD = 5, 80
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
@@ -29,7 +31,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays, the one with the smallest id."""
-    return token_groups.one_of_each(docs).select(*COLUMNS)
+    return token_groups.one_of_each(docs, NEAR_WORDS, NEAR_THRESHOLD).select(*COLUMNS)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -63,7 +63,7 @@ def op3_gear_chunks(spark, sf):
 
 @query()
 def op4_token_groups(spark, sf):
-    return token_groups.near_duplicates(table(spark, sf, "documents")).select("doc_id", "n_shingles", "component_id")
+    return token_groups.near_duplicates(table(spark, sf, "documents"), words=4, threshold=85).select("doc_id", "n_shingles", "component_id")
 
 
 @query()

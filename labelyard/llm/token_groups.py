@@ -20,11 +20,11 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from labelyard.llm.shingles import shingle_sets
+from labelyard.llm.shingles import WORDS_PER_SHINGLE, shingle_sets
 from labelyard.llm.workers import batches_of_texts
 from labelyard.sizing import materialise
 
-#: A link needs 100 * intersection >= THRESHOLD * union.
+#: Without other values, a link needs 100 * intersection >= THRESHOLD * union.
 THRESHOLD = 85
 SKETCH_BITS, SEGMENT_BITS = 22, 16
 GROUP_SIZE = 32
@@ -32,7 +32,7 @@ GROUP_SIZE = 32
 
 # --- the order of tokens -------------------------------------------------------------------------
 
-def frequency_classes(docs: DataFrame) -> bytes:
+def frequency_classes(docs: DataFrame, words: int) -> bytes:
     """For each hash bucket the logarithm of how many shingles of the corpus fall into it."""
     buckets, part = 1 << SKETCH_BITS, 1 << SEGMENT_BITS
 
@@ -40,7 +40,7 @@ def frequency_classes(docs: DataFrame) -> bytes:
         counts = np.zeros(buckets, np.int64)
         for batch in batches:
             for some in batches_of_texts(batch, 0):
-                held = [s >> np.uint64(64 - SKETCH_BITS) for s in shingle_sets(some.column(0))]
+                held = [s >> np.uint64(64 - SKETCH_BITS) for s in shingle_sets(some.column(0), words)]
                 if held:
                     counts += np.bincount(np.concatenate(held).astype(np.int64), minlength=buckets)
         for number in range(buckets // part):
@@ -67,24 +67,24 @@ def frequency_classes(docs: DataFrame) -> bytes:
     return bytes(whole)
 
 
-def prefix_length(n: int) -> int:
-    return n + (-THRESHOLD * n // 100) + 1
+def prefix_length(n: int, threshold: int) -> int:
+    return n + (-threshold * n // 100) + 1
 
 
-def token_sets(docs: DataFrame) -> DataFrame:
+def token_sets(docs: DataFrame, words: int, threshold: int) -> DataFrame:
     """doc_id, text_key, n_shingles, set_id (of equal sets) and prefix (rarest tokens) of each row."""
-    shared = docs.sparkSession.sparkContext.broadcast(frequency_classes(docs))
+    shared = docs.sparkSession.sparkContext.broadcast(frequency_classes(docs, words))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes = np.frombuffer(shared.value, np.uint8)
         for batch in batches:
             for some in batches_of_texts(batch, 2):
                 sizes, ids, prefixes = [], [], []
-                for tokens in shingle_sets(some.column(2)):
+                for tokens in shingle_sets(some.column(2), words):
                     sizes.append(len(tokens))
                     ids.append(xxhash.xxh3_64_intdigest(tokens.tobytes()) - (1 << 63) if len(tokens) else None)
                     order = np.argsort(classes[(tokens >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)], kind="stable")
-                    prefixes.append(tokens[order[:prefix_length(len(tokens))]].view(np.int64) if len(tokens) else [])
+                    prefixes.append(tokens[order[:prefix_length(len(tokens), threshold)]].view(np.int64) if len(tokens) else [])
                 yield pa.RecordBatch.from_arrays(
                     [some.column(0), some.column(1), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))],
                     ["doc_id", "text_key", "n_shingles", "set_id", "prefix"],
@@ -106,12 +106,12 @@ def _texts(docs: DataFrame, owners: DataFrame, needed: DataFrame) -> DataFrame:
     return materialise(rows.join(needed.hint("shuffle_hash"), same).select("set_id", "text").dropDuplicates(["set_id"]), "set-texts")
 
 
-def linked(x: np.ndarray, y: np.ndarray) -> bool:
+def linked(x: np.ndarray, y: np.ndarray, threshold: int) -> bool:
     both = len(np.intersect1d(x, y, assume_unique=True))
-    return 100 * both >= THRESHOLD * (len(x) + len(y) - both)
+    return 100 * both >= threshold * (len(x) + len(y) - both)
 
 
-def verified(docs: DataFrame, owners: DataFrame, pairs: DataFrame) -> DataFrame:
+def verified(docs: DataFrame, owners: DataFrame, pairs: DataFrame, words: int, threshold: int) -> DataFrame:
     """The pairs (a, b) of set ids that link."""
     pairs = materialise(pairs.select("a", "b"), "pairs")
     texts = _texts(docs, owners, pairs.select("a").union(pairs.select("b")))
@@ -119,7 +119,8 @@ def verified(docs: DataFrame, owners: DataFrame, pairs: DataFrame) -> DataFrame:
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for some in batches_of_texts(batch, 2):
-                links = [linked(x, y) for x, y in zip(shingle_sets(some.column(2)), shingle_sets(some.column(3)))]
+                sets = zip(shingle_sets(some.column(2), words), shingle_sets(some.column(3), words))
+                links = [linked(x, y, threshold) for x, y in sets]
                 yield some.select([0, 1]).filter(pa.array(links, pa.bool_()))
 
     both = (
@@ -130,7 +131,7 @@ def verified(docs: DataFrame, owners: DataFrame, pairs: DataFrame) -> DataFrame:
     return both.mapInArrow(compare, "a long, b long")
 
 
-def opened(docs: DataFrame, owners: DataFrame, asking: DataFrame, members: DataFrame) -> DataFrame:
+def opened(docs: DataFrame, owners: DataFrame, asking: DataFrame, members: DataFrame, words: int, threshold: int) -> DataFrame:
     """Links (a, b) between the classes that ask for a group and its members, enough to connect them.
 
     A row of the comparison is a group with a block of those that ask, about ``GROUP_SIZE`` each, so pairs
@@ -153,7 +154,7 @@ def opened(docs: DataFrame, owners: DataFrame, asking: DataFrame, members: DataF
             left, right = [], []
             for row in range(batch.num_rows):
                 ids = [batch.column(i)[row].as_py() for i in (0, 2)]
-                sets = [list(shingle_sets(batch.column(i)[row].values)) for i in (1, 3)]
+                sets = [list(shingle_sets(batch.column(i)[row].values, words)) for i in (1, 3)]
                 root: dict[int, int] = {}
 
                 def find(x: int) -> int:
@@ -163,7 +164,7 @@ def opened(docs: DataFrame, owners: DataFrame, asking: DataFrame, members: DataF
 
                 for a, x in zip(ids[0], sets[0]):
                     for b, y in zip(ids[1], sets[1]):
-                        if 100 * min(len(x), len(y)) >= THRESHOLD * max(len(x), len(y)) and find(a) != find(b) and linked(x, y):
+                        if 100 * min(len(x), len(y)) >= threshold * max(len(x), len(y)) and find(a) != find(b) and linked(x, y, threshold):
                             root[find(a)] = find(b)
                             left.append(a)
                             right.append(b)
@@ -172,14 +173,14 @@ def opened(docs: DataFrame, owners: DataFrame, asking: DataFrame, members: DataF
     return rows.mapInArrow(compare, "a long, b long")
 
 
-def _least_needed(n: Column, m: Column) -> Column:
+def _least_needed(n: Column, m: Column, threshold: int) -> Column:
     """Smallest intersection with which sets of n and m tokens link."""
-    return F.ceil(F.lit(THRESHOLD) * (n + m) / F.lit(100.0 + THRESHOLD) - 1e-9)
+    return F.ceil(F.lit(threshold) * (n + m) / F.lit(100.0 + threshold) - 1e-9)
 
 
-def _most_shared(shared: Column, n: Column, m: Column) -> Column:
+def _most_shared(shared: Column, n: Column, m: Column, threshold: int) -> Column:
     """No more tokens are common than the shared prefix tokens and the longer rest behind a prefix."""
-    return shared + F.ceil(F.lit(THRESHOLD) * F.greatest(n, m) / 100.0 - 1e-9) - 1
+    return shared + F.ceil(F.lit(threshold) * F.greatest(n, m) / 100.0 - 1e-9) - 1
 
 
 # --- components -----------------------------------------------------------------------------------
@@ -220,12 +221,12 @@ def components(links: DataFrame, name: str = "labels") -> DataFrame:
 
 # --- the join -------------------------------------------------------------------------------------
 
-def _likely(met: DataFrame) -> DataFrame:
+def _likely(met: DataFrame, threshold: int) -> DataFrame:
     """From set_id, n, first: for each class the partner met most often, if that is often enough."""
     best = met.groupBy("set_id", "first", "n").agg(F.count(F.lit(1)).alias("times")).groupBy("set_id", "n").agg(
         F.max(F.struct("times", "first")).alias("best")
     )
-    enough = F.col("best.times") * 3 >= F.col("n") * (100 - THRESHOLD) / 100.0
+    enough = F.col("best.times") * 3 >= F.col("n") * (100 - threshold) / 100.0
     return best.filter(enough).select(F.col("set_id").alias("a"), F.col("best.first").alias("b"))
 
 
@@ -272,7 +273,7 @@ def _groups(mixed: DataFrame, partners: DataFrame) -> DataFrame:
     ), "group-members")
 
 
-def _asking(mixed: DataFrame, members: DataFrame) -> DataFrame:
+def _asking(mixed: DataFrame, members: DataFrame, threshold: int) -> DataFrame:
     """a, group: the classes and groups whose bound reaches what a link needs.
 
     A class asks the groups that hold a component no smaller than its own, and another one; so of two
@@ -283,11 +284,13 @@ def _asking(mixed: DataFrame, members: DataFrame) -> DataFrame:
     )
     known = mixed.select("token", "pos", "set_id").join(members, "set_id")
     matrix = known.groupBy("token", "group").agg(F.min("pos").alias("pos_g")).join(about, "group")
-    low = F.greatest(F.col("low"), F.ceil(F.col("n") * THRESHOLD / 100.0 - 1e-9))
-    high = F.least(F.col("high"), F.floor(F.col("n") * 100.0 / THRESHOLD + 1e-9))
+    low = F.greatest(F.col("low"), F.ceil(F.col("n") * threshold / 100.0 - 1e-9))
+    high = F.least(F.col("high"), F.floor(F.col("n") * 100.0 / threshold + 1e-9))
     asks = (F.col("own") <= F.col("most")) & ~((F.col("own") == F.col("least")) & (F.col("own") == F.col("most")))
     # Sets that link share one of their first (size - least intersection + 1) tokens.
-    early = (F.col("pos") <= F.col("n") - _least_needed(F.col("n"), low)) & (F.col("pos_g") <= high - _least_needed(F.col("n"), high))
+    early = (F.col("pos") <= F.col("n") - _least_needed(F.col("n"), low, threshold)) & (
+        F.col("pos_g") <= high - _least_needed(F.col("n"), high, threshold)
+    )
     met = materialise(
         known.select("token", "pos", F.col("set_id").alias("a"), "n", "own").join(matrix, "token")
         .filter(asks & (low <= high) & early).select("a", "group").distinct(), "met-groups",
@@ -297,13 +300,15 @@ def _asking(mixed: DataFrame, members: DataFrame) -> DataFrame:
     shared = F.size(F.array_intersect("tokens", "union"))
     return (
         met.join(queries, "a").join(unions, "group")
-        .filter(_most_shared(shared, F.col("n"), high) >= _least_needed(F.col("n"), low)).select("a", "group")
+        .filter(_most_shared(shared, F.col("n"), high, threshold) >= _least_needed(F.col("n"), low, threshold)).select("a", "group")
     )
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = WORDS_PER_SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
     """doc_id, n_shingles and component_id (smallest doc_id reachable by links) of every row.
 
+    Shingles have ``words`` words, and a link needs 100 * intersection >= ``threshold`` * union.
+
     Links between classes are found in two steps. The first compares each class with one likely
     partner, twice, and joins what links into components, so that a large family of copies costs
     two comparisons a member. The second, which makes the result complete, looks through the matrix for
@@ -314,7 +319,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     never the smallest unless all are null. An empty table gives no rows. Set ids and shingles
     are 64-bit hashes.
     """
-    sets = materialise(token_sets(docs), "token-sets")
+    sets = materialise(token_sets(docs, words, threshold), "token-sets")
     owners = materialise(
         sets.filter("set_id IS NOT NULL").groupBy("set_id").agg(
             F.min(F.struct("doc_id", "text_key")).alias("row"), F.min("doc_id").alias("least")
@@ -335,13 +340,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     shared = materialise(shared.join(centres, "set_id").select("token", "pos", "set_id", "n", "centre"), "shared-tokens")
     firsts = shared.groupBy("token").agg(F.max_by("set_id", "centre").alias("first"))
     met = shared.join(firsts, "token").filter(F.col("set_id") != F.col("first"))
-    links = materialise(verified(docs, owners, _likely(met)), "links")
+    links = materialise(verified(docs, owners, _likely(met, threshold), words, threshold), "links")
     mixed = _mixed(shared, components(links, "first-labels"))
-    partners = materialise(_likely(_next_partners(mixed)), "partners")
-    links = links.union(materialise(verified(docs, owners, partners), "links"))
+    partners = materialise(_likely(_next_partners(mixed), threshold), "partners")
+    links = links.union(materialise(verified(docs, owners, partners, words, threshold), "links"))
     mixed = _mixed(mixed.drop("component"), components(links, "first-labels"))
     members = _groups(mixed, partners)
-    more = materialise(opened(docs, owners, _asking(mixed, members), members), "links")
+    more = materialise(opened(docs, owners, _asking(mixed, members, threshold), members, words, threshold), "links")
     labels = components(links.union(more), "labels")
     classes = owners.select("set_id", "least").join(labels, F.col("set_id") == F.col("node"), "left").select(
         "set_id", "least", F.coalesce("component", "set_id").alias("component")
@@ -353,12 +358,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
+def one_of_each(docs: DataFrame, words: int = WORDS_PER_SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
     """``docs`` with one row of each component, that of the smallest doc_id; all columns stay.
 
     Rows without shingles all stay. Of equal rows with one id, one stays. Null ids come last.
     """
-    found = materialise(near_duplicates(docs), "near-duplicates")
+    found = materialise(near_duplicates(docs, words, threshold), "near-duplicates")
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")
     first = found.filter("component IS NOT NULL").groupBy("component").agg(F.min(order).alias("row")).select("row.doc_id", "row.text_key")
     empty = found.filter("component IS NULL").select("doc_id", "text_key").distinct()
