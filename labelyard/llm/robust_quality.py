@@ -1,8 +1,10 @@
 """Quality rules: base limits, then multivariate outliers by minimum covariance determinant.
 
-Five statistics of a text are transformed and rounded to whole hundredths. For each language and source the
+Five statistics of a text are transformed and rounded to whole hundredths. For each language and source, each
+language and the whole corpus the
 estimator looks for the part of the documents, ``SHARE`` of them, whose covariance has the smallest
-determinant; a document far from that part by Mahalanobis distance is rejected. All sums
+determinant. An estimate of n documents weighs n / (n + ``PRIOR_ROWS``) against the one behind it: a source's
+against its language's, a language's against the corpus's. A document far by Mahalanobis distance is rejected. All sums
 are over whole numbers, so the estimates do not depend on how the table is split. Everything is a
 DataFrame expression or an aggregation with a few numbers for each group.
 """
@@ -25,8 +27,8 @@ STATISTICS = {"symbols": 0.6, "word_length": 0.12, "dup_lines": 0.8, "repeats":
 UNIT = 100
 #: Part of a group that is fitted; steps; squared distance above which a document is rejected (one in a
 #: million of a normal distribution in five dimensions); the median of such a squared distance;
-#: smallest group with estimates of its own.
-SHARE, STEPS, CUTOFF, MEDIAN, LEAST_ROWS = 0.75, 4, 35.888, 4.3515, 50
+#: documents that the estimate behind a group's own counts for.
+SHARE, STEPS, CUTOFF, MEDIAN, PRIOR_ROWS = 0.75, 4, 35.888, 4.3515, 50
 BIN = 16
 
 P = len(STATISTICS)
@@ -89,7 +91,7 @@ def transformed(measured: DataFrame) -> DataFrame:
 
 
 def _group_key(rows: DataFrame) -> DataFrame:
-    """Add _group: language and source, or the language alone where a source has few documents."""
+    """Add _lang and _pair: the language, and language with source."""
     def known(c: str) -> Column:
         return F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("null"))
 
@@ -130,8 +132,48 @@ def _sums(prefix: str = "q") -> list[Column]:
     return [F.sum(q[i]).alias(f"s{i}") for i in range(P)] + [F.sum(q[i] * q[j]).alias(f"s{i}{j}") for i, j in LOWER]
 
 
+def _levels() -> list[tuple[str, Column]]:
+    """The groups a document belongs to, the nearest first."""
+    return [
+        ("pair", F.concat(F.lit("pair\t"), "_pair")), ("lang", F.concat(F.lit("lang\t"), "_lang")), ("all", F.lit("all")),
+    ]
+
+
+def _shrunk(names: DataFrame, fits: DataFrame) -> DataFrame:
+    """_pair, means, Cholesky factor and cutoff: each pair's own estimate, weighed by its documents.
+
+    Means, covariances and the logarithm of the cutoff's scale are each a weighted mean, so nothing jumps
+    with the size of a group. ``fits`` has m*, l*, _scale and _n of every _group.
+    """
+    floors = [(UNIT * f) ** 2 for f in STATISTICS.values()]
+    out = names
+    for level, name in _levels():
+        values = {"n": F.col("_n"), "scale": F.col("_scale"), **{f"m{i}": F.col(f"m{i}") for i in range(P)}}
+        for i, j in LOWER:
+            values[f"c{i}{j}"] = sum((F.col(f"l{i}{k}") * F.col(f"l{j}{k}") for k in range(j + 1)), F.lit(0.0))
+        part = fits.select(F.col("_group").alias(f"_{level}_group"), *[v.alias(f"{level}_{k}") for k, v in values.items()])
+        out = out.join(part, name == F.col(f"_{level}_group"))
+    for near, behind in (("lang", "all"), ("pair", "lang")):
+        own = F.col(f"{near}_n") / (F.col(f"{near}_n") + PRIOR_ROWS)
+        out = out.withColumns({
+            f"{near}_{k}": own * F.col(f"{near}_{k}") + (1 - own) * F.col(f"{behind}_{k}")
+            for k in ["scale", *[f"m{i}" for i in range(P)], *[f"c{i}{j}" for i, j in LOWER]]
+        })
+    out = materialise(out, "quality-shrunk")
+    # As the sums of one document; ``_factored`` adds the least spreads, which the covariances hold already.
+    moments = {f"s{i}": F.col(f"pair_m{i}") for i in range(P)}
+    for i, j in LOWER:
+        moments[f"s{i}{j}"] = F.col(f"pair_c{i}{j}") + F.col(f"pair_m{i}") * F.col(f"pair_m{j}") - (floors[i] if i == j else 0.0)
+    cutoffs = out.select("_pair", (CUTOFF * F.exp("pair_scale")).alias("cutoff"))
+    sums = out.select(F.col("_pair").alias("_group"), F.lit("").alias("_start"), F.lit(1).alias("_n"), *[v.alias(k) for k, v in moments.items()])
+    return _factored(sums).drop("_start", "log_det").withColumnRenamed("_group", "_pair").join(cutoffs, "_pair")
+
+
 def estimates(stats: DataFrame) -> DataFrame:
-    """Per group: means, Cholesky factor and the cutoff; ``stats`` has _lang, _pair and q1 to q5.
+    """Per language and source: means, Cholesky factor and the cutoff; ``stats`` has _lang, _pair and q1 to q5.
+
+    A group is a language with a source, a language or the corpus, each of all its documents; ``_shrunk``
+    then weighs the first against the others.
 
     Two starts, the medians with quartile spreads and the whole group's moments, are each improved by
     concentration steps: fit, order by distance, keep the nearest ``SHARE``, fit again. One step is
@@ -140,9 +182,9 @@ def estimates(stats: DataFrame) -> DataFrame:
     hardly varies.
     """
     used = stats.filter(~F.col("base_failed"))
-    sizes = used.groupBy("_pair", "_lang").agg(F.count(F.lit(1)).alias("_size"))
-    names = materialise(sizes.select("_pair", F.when(F.col("_size") >= LEAST_ROWS, F.col("_pair")).otherwise(F.col("_lang")).alias("_group")), "quality-groups")
-    used = materialise(used.join(names, "_pair").select("_group", *[f"q{i + 1}" for i in range(P)]), "quality-vectors")
+    used = materialise(used.select("_pair", "_lang", *[f"q{i + 1}" for i in range(P)]), "quality-vectors")
+    names = materialise(used.select("_pair", "_lang").distinct(), "quality-groups")
+    used = used.select(F.explode(F.array(*[name for _, name in _levels()])).alias("_group"), *[f"q{i + 1}" for i in range(P)])
     whole = used.groupBy("_group").agg(F.count(F.lit(1)).alias("_n"), *_sums())
     quart = used.groupBy("_group").agg(F.count(F.lit(1)).alias("_n"), *[
         F.percentile(f"q{i + 1}", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"p{i}") for i in range(P)
@@ -171,8 +213,8 @@ def estimates(stats: DataFrame) -> DataFrame:
     least = materialise(least.drop("log_det", "_start"), "quality-fit")
     middle_bin = _distance(used.join(least, "_group")).groupBy("_group").agg(F.percentile(bin_, F.lit(0.5)).alias("_middle"))
     scale = F.greatest(F.lit(1.0), F.exp((F.col("_middle") + 1) / BIN) / MEDIAN)
-    done = least.join(middle_bin, "_group").withColumn("cutoff", CUTOFF * scale).drop("_middle")
-    return materialise(names.join(done, "_group").drop("_group"), "quality-estimates")
+    done = least.join(middle_bin, "_group").join(whole.select("_group", "_n"), "_group").withColumn("_scale", F.log(scale)).drop("_middle")
+    return materialise(_shrunk(names, materialise(done, "quality-fit")), "quality-estimates")
 
 
 def judged(docs: DataFrame, columns: list[str] | None = None) -> DataFrame:

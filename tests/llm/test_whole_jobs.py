@@ -1,6 +1,9 @@
 """Cases in which an operator once did less than its whole job."""
 
+import numpy as np
+
 import corpus_pipeline
+from labelyard.llm import robust_quality
 
 
 def test_the_stage_links_at_five_words_and_eighty_percent(spark):
@@ -22,3 +25,22 @@ def test_the_stage_links_at_five_words_and_eighty_percent(spark):
     table = spark.createDataFrame([(i, " ".join(t), "en", "s", 1) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
     got = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, table, "").collect()}
     assert got == want == {0, 2, 3, 5, 6, 7, 8}
+
+
+def test_small_sources_are_judged_by_their_language(spark):
+    """Junk that is all of its source, or of its language, goes; clean documents in such sources stay."""
+    rng = np.random.default_rng(1)
+
+    def clean(i):
+        return " ".join(rng.choice(["alpha", "beta", "gamma", "delta", "um"], 80)) + f" {i} {i * 7} {i * 13}"
+
+    def junk(i):
+        return " ".join(f"XY{i}A{k:03d}!!***" for k in range(60))
+
+    rows = [(i, clean(i), "en", f"big{i % 2}") for i in range(400)]
+    rows += [(1000, junk(0), "en", "one"), (1001, junk(1), "en", "two"), (1002, junk(2), "en", "two"), (1003, junk(3), "xx", "three")]
+    rows += [(2000, clean(2000), "en", "four"), (2001, clean(2001), "yy", None)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: (r.base_failed, r.kept) for r in robust_quality.judged(table).collect()}
+    assert all(got[i] == (False, False) for i in (1000, 1001, 1002, 1003))
+    assert all(failed or kept for i, (failed, kept) in got.items() if i not in range(1000, 1004))
