@@ -2,7 +2,8 @@
 
 Words are hashed to embeddings, filters of several widths slide over them, each filter keeps its
 largest response in the text, and a logistic layer weighs these. Training takes a bounded sample of
-labelled rows on the driver; scoring is one pass over whole texts. As a filter is a sum over the words
+labelled rows on the driver; scoring is one pass over whole texts, and thresholds are calibrated on the
+scores of all labelled rows that may be learned from and were not fitted. As a filter is a sum over the words
 in its window, every word's part is computed once per model and scoring only adds table rows.
 """
 
@@ -18,11 +19,14 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from labelyard.llm.shingles import raw, word_hashes
 from labelyard.llm.workers import batches_of_texts, per_worker, slices
+from labelyard.sizing import materialise
 
 BUCKET_BITS, DIMENSIONS, WIDTHS, FILTERS = 18, 8, (1, 2, 3), 8
 #: The most labelled rows of each class that training takes.
 SAMPLE_ROWS = 3000
 EPOCHS, RATE, LEAST_DOCUMENTS, SEED = 6, 0.1, 3, 5
+#: Score bins for each unit of the logit, and the toxic rows a language needs for a threshold of its own.
+BINS, LEAST_TOXIC = 64, 5
 
 
 def _separators() -> np.ndarray:
@@ -142,22 +146,15 @@ def _step(model: Model, words: np.ndarray, label: float, squares: dict) -> None:
                 move("embedding", model.embedding, one, row)
 
 
-def train(texts: list[str], labels: np.ndarray, langs: list[str | None], rate_of_ones: float) -> Model:
-    """Fit on the sample, then set the offset for the true share of label 1 and calibrate thresholds.
-
-    The threshold of a language is the score that gives the best F1 on its part of every fifth text,
-    which is not fitted; a language with fewer than five toxic texts there takes the common one.
-    """
+def train(texts: list[str], labels: np.ndarray, rate_of_ones: float) -> Model:
+    """Fit on the texts that are not ``aside``, then set the offset for the true share of label 1."""
     rng = np.random.default_rng(SEED)
     held = pa.array(texts, pa.large_string())
     docs = []
     for start, n in slices(held, 4 << 20):  # hashing keeps tables of the size of a slice
         some, places = buckets(held.slice(start, n))
         docs += [some[a:b] for a, b in zip(places[:-1], places[1:])]
-    words = np.concatenate(docs) if docs else np.zeros(0, np.int64)
-    at = np.concatenate([[0], np.cumsum([len(d) for d in docs])]).astype(np.int64)
-    aside = np.arange(len(docs)) % 5 == 4
-    fit = np.flatnonzero(~aside)
+    fit = np.flatnonzero(~aside(len(docs)))
     model = _start([docs[i] for i in fit], labels[fit], rng)
     squares: dict = {name: np.zeros_like(getattr(model, name)) for name in ("weights", "bias", "embedding")}
     squares["offset"] = 0.0
@@ -168,24 +165,54 @@ def train(texts: list[str], labels: np.ndarray, langs: list[str | None], rate_of
     share = min(0.99, max(0.01, labels.mean())) if len(labels) else 0.5
     rate = min(0.99, max(0.001, rate_of_ones))
     model.offset += float(np.log(rate / (1 - rate)) - np.log(share / (1 - share)))
-    scores = sigmoid(model.logits(words, at))
-    weigh = np.where(labels == 1, rate / share, (1 - rate) / (1 - share))
-    model.thresholds[""] = _best_threshold(scores[aside], labels[aside], weigh[aside])
-    for lang in sorted({x for x in langs if x}):
-        here = aside & np.array([x == lang for x in langs])
-        if labels[here].sum() >= 5:
-            model.thresholds[lang] = _best_threshold(scores[here], labels[here], weigh[here])
     return model
 
 
-def _best_threshold(scores: np.ndarray, labels: np.ndarray, weigh: np.ndarray) -> float:
-    """The score with the best F1 if texts from it on count as toxic; 0.5 without any."""
-    if not len(scores):
+def aside(n: int) -> np.ndarray:
+    """Every fifth of n texts is not fitted, so that a small table has rows for calibration."""
+    return np.arange(n) % 5 == 4
+
+
+def _best_threshold(bins: dict[int, np.ndarray], totals: np.ndarray) -> float:
+    """The lower edge of the score bin with the best F1 if texts from it on count as toxic; 0.5 without any.
+
+    ``bins`` has how many rows of each label were calibrated on, ``totals`` how many there are.
+    """
+    order = sorted(bins, reverse=True)
+    counts = np.array([bins[b] for b in order], np.float64).reshape(-1, 2)
+    held = counts.sum(axis=0)
+    if not held[1]:
         return 0.5
-    order = np.argsort(-scores, kind="stable")
-    hit = np.cumsum((labels * weigh)[order])
-    f1 = 2 * hit / (np.cumsum(weigh[order]) + (labels * weigh).sum() + 1e-12)
-    return float(scores[order][int(f1.argmax())])
+    counts *= totals / np.maximum(1, held)
+    hit = np.cumsum(counts[:, 1])
+    f1 = 2 * hit / (np.cumsum(counts.sum(axis=1)) + counts[:, 1].sum() + 1e-12)
+    return float(sigmoid(np.float64(order[int(f1.argmax())] / BINS)))
+
+
+def calibrated(scored: DataFrame, used: DataFrame, fitted: DataFrame) -> dict[str, float]:
+    """For each language, and "" for all, the score that gives the best F1 on the labelled rows not fitted.
+
+    ``scored`` has doc_id, lang and score, ``used`` the labels that may be learned from, ``fitted`` the doc_id of
+    rows that were. A language with fewer than ``LEAST_TOXIC`` toxic rows takes the common threshold.
+    """
+    known = used.select("doc_id", F.col("toxic").cast("int").alias("toxic")).join(F.broadcast(fitted.withColumn("_fit", F.lit(True))), "doc_id", "left")
+    logit = F.floor(F.log(F.col("score") / (1 - F.col("score"))) * BINS).cast("int")
+    counted = (
+        scored.join(known, "doc_id")
+        .groupBy(F.coalesce("lang", F.lit("")).alias("lang"), "toxic", F.when(F.col("_fit").isNull(), logit).alias("bin"))
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+    bins: dict[str, dict[int, np.ndarray]] = {"": {}}
+    totals: dict[str, np.ndarray] = {"": np.zeros(2)}
+    for row in counted.toLocalIterator():  # a few thousand numbers for each language at most
+        for lang in {"", row["lang"]}:
+            totals.setdefault(lang, np.zeros(2))[row["toxic"]] += row["n"]
+            if row["bin"] is not None:
+                bins.setdefault(lang, {}).setdefault(row["bin"], np.zeros(2))[row["toxic"]] += row["n"]
+    return {
+        lang: _best_threshold(held, totals[lang]) for lang, held in bins.items()
+        if not lang or sum(n[1] for n in held.values()) >= LEAST_TOXIC
+    }
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -194,7 +221,12 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 def fit_on(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
-    """Train on at most ``rows`` labelled rows of each class, the first by a hash of the id."""
+    """Train on at most ``rows`` labelled rows of each class, the first by a hash of the id; calibrate on all others."""
+    return _fitted(docs, labels, rows)[0]
+
+
+def _fitted(docs: DataFrame, labels: DataFrame, rows: int) -> tuple[Model, DataFrame]:
+    """The model, and doc_id, lang and score of every row."""
     used = labels.filter(~held_out() & F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull())
     counts = {r["toxic"]: r["n"] for r in used.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     picked = None
@@ -203,13 +235,17 @@ def fit_on(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model
         part = part.orderBy("_order", "doc_id").limit(rows)
         picked = part if picked is None else picked.unionByName(part)
     sample = (
-        docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "lang").join(F.broadcast(picked), "doc_id")
+        docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id")
         .orderBy("_order", "text").limit(4 * rows).toPandas()
     )
     if sample.empty or sample["toxic"].nunique() < 2:
         raise ValueError("training needs labelled rows of both classes")
     total = sum(counts.values())
-    return train(list(sample["text"]), sample["toxic"].to_numpy(np.float64), list(sample["lang"]), counts.get(1, 0) / total)
+    model = train(list(sample["text"]), sample["toxic"].to_numpy(np.float64), counts.get(1, 0) / total)
+    scored = materialise(score(docs, model, ["doc_id", "lang"]), "toxicity-scores")
+    ids = docs.sparkSession.createDataFrame([(x,) for x in set(sample["doc_id"][~aside(len(sample))].tolist())], docs.select("doc_id").schema)
+    model.thresholds = calibrated(scored, used, ids)
+    return model, scored
 
 
 def score(docs: DataFrame, model: Model, columns: list[str] | None = None) -> DataFrame:
@@ -239,10 +275,10 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     null texts have the score of a text without words, rows are scored one by one, equal texts alike,
     and a null id is not held out. Training fails if no labelled row of one class is left.
     """
-    model = fit_on(docs, labels)
+    model, scored = _fitted(docs, labels, SAMPLE_ROWS)
     limits = F.create_map(*[F.lit(x) for pair in sorted(model.thresholds.items()) for x in pair])
     limit = F.coalesce(F.try_element_at(limits, F.coalesce(F.col("lang"), F.lit(""))), F.lit(model.thresholds[""]))
-    return score(docs, model, ["doc_id", "lang"]).select(
+    return scored.select(
         "doc_id", "lang", held_out().alias("held_out"), "score",
         F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"),
         F.when(F.col("score") >= limit, 1).otherwise(0).alias("by_language"),

@@ -3,7 +3,7 @@
 import numpy as np
 
 import corpus_pipeline
-from labelyard.llm import robust_quality
+from labelyard.llm import robust_quality, toxicity_cnn
 
 
 def test_the_stage_links_at_five_words_and_eighty_percent(spark):
@@ -44,3 +44,20 @@ def test_small_sources_are_judged_by_their_language(spark):
     got = {r.doc_id: (r.base_failed, r.kept) for r in robust_quality.judged(table).collect()}
     assert all(got[i] == (False, False) for i in (1000, 1001, 1002, 1003))
     assert all(failed or kept for i, (failed, kept) in got.items() if i not in range(1000, 1004))
+
+
+def test_thresholds_take_all_labelled_rows(spark):
+    """A language with few toxic texts in the training sample and many outside it has its own threshold."""
+    rng = np.random.default_rng(2)
+    words, rows, marks = [f"term{i}" for i in range(50)], [], []
+    for i in range(1200):
+        text = list(rng.choice(words, 20))
+        if i % 2:
+            text[3] = "vile"
+        rows.append((i, " ".join(text), "rare" if i < 200 else "en"))
+        marks.append((i, i % 2))
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.createDataFrame(marks, "doc_id long, toxic int")
+    model = toxicity_cnn.fit_on(docs, labels, rows=30)
+    assert {"", "en", "rare"} == set(model.thresholds)
+    scores = {r.doc_id: r.score for r in toxicity_cnn.score(docs.filter("doc_id < 200"), model).collect()}
+    assert sum((s >= model.thresholds["rare"]) == bool(i % 2) for i, s in scores.items()) >= 190
