@@ -2,66 +2,81 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions.text import tokens
 from ..sizing import fits, materialise
+from .ranks import numbered
 
 # Terms found in more documents than this share are joined by broadcast. With T
 # distinct terms per document on average there are at most T / share of them.
 HOT_SHARE = 0.01
 
 
-def term_counts(items: DataFrame) -> DataFrame:
-    """Occurrences of each word and word pair per item: ``item_id, term, tf``."""
+def term_counts(items: DataFrame, num_features: int | None = None) -> DataFrame:
+    """Occurrences of each word and word pair per item: ``item_id, term, tf``.
+
+    With ``num_features`` a term stands for all that hash into the same of so many columns.
+    """
     words = items.select("item_id", tokens(F.col("text")).alias("w"))
     pairs = F.zip_with(
         F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0))),
         F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(0))),
         lambda a, b: F.concat_ws(" ", a, b),
     )
+    term = F.col("term")
+    if num_features:
+        term = F.pmod(F.xxhash64(term), F.lit(num_features)).cast("string")
     return (
         words.select("item_id", F.explode(F.concat("w", pairs)).alias("term"))
-        .groupBy("item_id", "term")
+        .groupBy("item_id", term.alias("term"))
         .agg(F.count(F.lit(1)).alias("tf"))
     )
 
 
-def document_frequencies(counts: DataFrame, n_items: int) -> DataFrame:
-    """Documents per term with the smoothed inverse ``ln((1 + n) / (1 + df)) + 1``."""
-    return counts.groupBy("term").agg(F.count(F.lit(1)).alias("df")).withColumn(
+def dictionary(counts: DataFrame, n_items: int) -> DataFrame:
+    """``term, df, idf, i``: documents per term, ``ln((1 + n) / (1 + df)) + 1``, and the term's column.
+
+    Columns are the places of the sorted terms, numbered in ranges, so no task or driver holds
+    the vocabulary. The table is stored once and read by every later step.
+    """
+    found = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df")).withColumn(
         "idf", F.log((F.lit(1.0) + F.lit(n_items)) / (1 + F.col("df"))) + 1
     )
+    placed = numbered(found, [F.col("term")], "_place")
+    return materialise(placed.select("term", "df", "idf", (F.col("_place") - 1).alias("i")), "dictionary")
 
 
-def tfidf(items: DataFrame) -> DataFrame:
-    """L2-normalised weights ``(1 + ln tf) * idf`` per item and term.
+def weighted_terms(counts: DataFrame, terms: DataFrame, n_items: int) -> DataFrame:
+    """L2-normalised weights ``(1 + ln tf) * idf`` per item and known term, with the term's columns.
 
     Terms that occur in a large share of the items would each land in a single
     join partition, so those few are joined by broadcast and only the rest is
-    shuffled by term.
+    shuffled by term. Terms the dictionary lacks are left out.
     """
-    n_items = items.count()
-    counts = materialise(term_counts(items), "term_counts")
-    idf = document_frequencies(counts, n_items)
     hot_from = max(1.0, HOT_SHARE * n_items)
-    hot, rest = idf.filter(F.col("df") > hot_from), idf.filter(F.col("df") <= hot_from)
+    hot = terms.filter(F.col("df") > hot_from)
     if fits(hot):
         hot = F.broadcast(hot)
-        weighted = counts.join(hot, "term").unionByName(
+        rest = terms.filter(F.col("df") <= hot_from)
+        joined = counts.join(hot, "term").unionByName(
             counts.join(F.broadcast(hot.select("term")), "term", "left_anti").join(rest, "term")
         )
     else:
-        weighted = counts.join(idf, "term")
+        joined = counts.join(terms, "term")
     raw = (1 + F.log(F.col("tf"))) * F.col("idf")
-    # The terms of one item fit in a row, as its text did.
-    per_item = weighted.groupBy("item_id").agg(
-        F.collect_list(F.struct("term", "tf", "df", "idf", raw.alias("raw"))).alias("terms"),
-        F.sqrt(F.sum(raw * raw)).alias("norm"),
-    )
-    return per_item.select("item_id", "norm", F.explode("terms").alias("t")).select(
-        "item_id", "t.term", "t.tf", "t.df", "t.idf", (F.col("t.raw") / F.col("norm")).alias("weight")
-    )
+    norm = F.sqrt(F.sum(raw * raw).over(W.partitionBy("item_id")))
+    return joined.withColumn("weight", raw / norm)
+
+
+def tfidf(items: DataFrame) -> DataFrame:
+    """Weights of all words and word pairs of ``items``, measured against the items themselves."""
+    n_items = items.count()
+    counts = materialise(term_counts(items), "term_counts")
+    rows = weighted_terms(counts, dictionary(counts, n_items), n_items)
+    return rows.select("item_id", "term", "tf", "df", "idf", "weight")
 
 
 def class_weights(train: DataFrame, label: str = "label") -> DataFrame:
@@ -77,18 +92,11 @@ def masked_mean_pool(
 ) -> DataFrame:
     """Mean of the unmasked token vectors of each item, as an array.
 
-    Sums are kept per item and dimension, so an item with very many tokens is
-    combined on the map side. An item whose tokens are all masked pools to zeros.
+    The tokens of an item are summed as vectors on the map side, so one row per item and task
+    is shuffled. An item whose tokens are all masked pools to zeros.
     """
-    rows = vectors.select(
-        by, F.col(mask).cast("double").alias("m"), F.posexplode(vector).alias("dim", "x")
-    )
-    sums = rows.groupBy(by, "dim").agg(
-        F.sum(F.col("x").cast("double") * F.col("m")).alias("total"), F.sum("m").alias("weight")
-    )
-    mean = F.col("total") / F.greatest(F.col("weight"), F.lit(1e-9))
-    return sums.groupBy(by).agg(
-        F.transform(
-            F.array_sort(F.collect_list(F.struct("dim", mean.alias("x")))), lambda s: s["x"]
-        ).alias("pooled")
-    )
+    used = F.col(mask).cast("double")
+    rows = vectors.select(by, used.alias("m"), array_to_vector(F.transform(vector, lambda x: x.cast("double") * used)).alias("v"))
+    pooled = rows.groupBy(by).agg(Summarizer.sum(F.col("v")).alias("total"), F.sum("m").alias("weight"))
+    least = F.greatest(F.col("weight"), F.lit(1e-9))
+    return pooled.select(by, F.transform(vector_to_array("total"), lambda x: x / least).alias("pooled"))

@@ -88,13 +88,17 @@ def _local_folder() -> tempfile.TemporaryDirectory:
     return tempfile.TemporaryDirectory(prefix="labelyard-", ignore_cleanup_errors=True)
 
 
+def store(df: DataFrame, name: str) -> str:
+    """Write an intermediate to the shared folder; returns its path."""
+    path = f"{workspace(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return path
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write an intermediate to the shared folder once and read it back.
 
     For results that several later steps scan: the table survives lost executors
     and cuts the lineage.
     """
-    spark = df.sparkSession
-    path = f"{workspace(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(store(df, name))

@@ -214,3 +214,50 @@ def test_dataset_specs_and_panel_tables(spark, tmp_path):
     result.write(str(tmp_path / "panel"))
     assert spark.read.parquet(str(tmp_path / "panel" / "systems")).count() == 2
     assert spark.read.parquet(str(tmp_path / "panel" / "comparisons")).count() == 0
+
+
+def test_text_arm_reaches_the_optimum_over_the_whole_vocabulary(spark, tmp_path):
+    """Every class is at the optimum, terms of one item included, and the features are those of ``tfidf``."""
+    from labelyard.operators.supervised import GRADIENT_BOUND, FittedArm, fit_arm, optimality
+
+    rng = np.random.default_rng(4)
+    words = {"a": ["red", "blue", "green"], "b": ["one", "two", "three"], "c": ["cat", "dog", "blue"]}
+    rows = [(i, " ".join(rng.choice(words[y], 6)) + f" own{i} it{i}", y) for i, y in enumerate(rng.choice(["a", "a", "b", "c"], 60).tolist())]
+    rows += [(1000, "", "a"), (1001, "?!", "b")]
+    for labels in (["a", "b", "c"], ["a", "b"]):
+        train = spark.createDataFrame([r for r in rows if r[2] in labels], "item_id long, text string, label string")
+        arm = fit_arm("tfidf", train)
+        assert arm.labels == labels and all(r["gradient"] < GRADIENT_BOUND for r in optimality(arm, train).collect())
+        weights = {(r["item_id"], r["term"]): r["weight"] for r in features.tfidf(train).collect()}
+        terms = {r["i"]: r["term"] for r in arm.terms.collect()}
+        got = {(r["item_id"], terms[r["i"]]): r["x"] for r in arm.entries(train).collect()}
+        assert got == pytest.approx(weights)
+        arm.save(str(tmp_path / f"arm{len(labels)}"))
+        again = FittedArm.load(spark, str(tmp_path / f"arm{len(labels)}"))
+        asked = spark.createDataFrame([(1, "red green", "a"), (2, "", "b"), (3, "nothing known", "b"), (4, "two three", "b")], "item_id long, text string, label string")
+        one, two = ({r["item_id"]: (r["labels"][0], r["confidence"]) for r in m.predict(asked).collect()} for m in (arm, again))
+        assert one == two and one[1][0] == "a" and one[4][0] == "b" and one[2] == pytest.approx(one[3])
+    with pytest.warns(UserWarning, match="stopped after 2 steps"):
+        fit_arm("tfidf", train, max_iter=2)
+    hashed = fit_arm("tfidf", train, num_features=16)
+    assert hashed.terms.count() <= 16 and all(r["gradient"] < GRADIENT_BOUND for r in optimality(hashed, train).collect())
+    with pytest.raises(ValueError, match="two labels"):
+        fit_arm("tfidf", train.filter("label = 'a'"))
+
+
+def test_optimiser_sums_large_gradients_in_blocks(spark, monkeypatch):
+    from labelyard.operators import logistic
+
+    rng = np.random.default_rng(5)
+    rows = [(float(i % 3), 1.0 + i % 2, [int(k) for k in rng.choice(40, 5, replace=False)], rng.random(5).tolist()) for i in range(50)] + [(0.0, 1.0, [], [])]
+    table = spark.createDataFrame(rows, "label_index double, weight double, indices array<bigint>, values array<double>").repartition(3)
+    theta = rng.normal(size=41 * 3)
+    direct = logistic.Objective(table, 40, 3, 0.1, 51.0).at(theta)
+    monkeypatch.setattr(logistic, "DIRECT_BYTES", 0)
+    monkeypatch.setattr(logistic, "BLOCK", 16)
+    summed = logistic.Objective(table, 40, 3, 0.1, 51.0).at(theta)
+    assert direct[0] == pytest.approx(summed[0]) and direct[1] == pytest.approx(summed[1])
+    step = np.zeros(len(theta))
+    step[7] = 1e-6
+    up, down = (logistic.Objective(table, 40, 3, 0.1, 51.0).at(theta + sign * step)[0] for sign in (1, -1))
+    assert direct[1][7] == pytest.approx((up - down) / 2e-6, rel=1e-4)

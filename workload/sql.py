@@ -158,3 +158,80 @@ sizes AS (SELECT side, count(*) AS n_labels FROM sides GROUP BY 1)
 """ + ACCURACY_CI
 SWAP_SUBSET = _SWAP.replace("FILTER)", "theirs.side = own.side)")
 SWAP_FULL = _SWAP.replace("FILTER)", "true)")
+
+
+# --- logistic regression -------------------------------------------------------------------
+# The optimum of the regularised objective, found by accelerated gradient descent on the weights of
+# the training rows (a weight vector is their combination), so only dot products of rows are needed.
+
+DOCUMENT_ROWS = f"rows AS (SELECT doc_id AS id, lang AS label, text, ({IS_TRAIN}) AS train FROM documents)"
+EMBEDDING_ROWS = f"""rows AS (SELECT vec_id AS id, label::VARCHAR AS label, embedding::DOUBLE[] AS v, ({IS_TRAIN.replace("doc_id", "vec_id")}) AS train FROM embeddings)"""
+
+_CLASSES = """
+sizes AS (SELECT label, count(*) AS n, row_number() OVER (ORDER BY label) AS c, count(*) OVER () AS m, sum(count(*)) OVER ()::BIGINT AS total FROM rows WHERE train GROUP BY label),
+classes AS (SELECT max(m) AS m, max(total) AS n, list(label ORDER BY c) AS names FROM sizes),
+known AS (SELECT id, row_number() OVER (ORDER BY id) AS i, c, total / (m * n) AS w FROM rows JOIN sizes USING (label) WHERE train),
+facts AS (SELECT list(c ORDER BY i) AS c, list(w ORDER BY i) AS w FROM known)"""
+_TEXT_DOTS = f"""
+words AS (SELECT id, train, {TOKENS} AS w FROM rows),
+terms AS (SELECT id, train, unnest(w) AS term FROM words UNION ALL SELECT id, train, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM words),
+tf AS (SELECT id, train, term, count(*) AS tf FROM terms GROUP BY ALL),
+idf AS (SELECT term, ln((1 + (SELECT n FROM classes)) / (1 + count(*))) + 1 AS idf FROM tf WHERE train GROUP BY term),
+raw AS (SELECT id, train, term, (1 + ln(tf)) * idf AS raw FROM tf JOIN idf USING (term)),
+scaled AS (SELECT id, train, term, raw / sqrt(sum(raw * raw) OVER (PARTITION BY id)) AS x FROM raw),
+met AS (SELECT a.id, b.id AS other, sum(a.x * b.x) AS dot FROM scaled a JOIN scaled b ON a.term = b.term AND b.train GROUP BY ALL),
+dots AS MATERIALIZED (SELECT r.id, list(coalesce(dot, 0) ORDER BY i) AS row FROM rows r CROSS JOIN known k LEFT JOIN met ON met.id = r.id AND met.other = k.id GROUP BY r.id)"""
+_VECTOR_DOTS = """
+dots AS MATERIALIZED (SELECT r.id, list(list_dot_product(r.v, y.v) ORDER BY i) AS row FROM rows r CROSS JOIN known k JOIN rows y ON y.id = k.id GROUP BY r.id)"""
+_DESCENT = """
+gram AS MATERIALIZED (SELECT list(row ORDER BY i) AS k FROM dots JOIN known USING (id)),
+fit AS (
+  SELECT 0 AS t, list_transform(range(0, m), lambda c: list_transform(range(0, n), lambda i: 0.0::DOUBLE)) AS a, a AS y,
+    list_transform(range(0, m), lambda c: 0.0::DOUBLE) AS b, b AS z FROM classes
+  UNION ALL
+  SELECT t + 1, na, list_transform(range(1, m + 1), lambda c: list_transform(range(1, n + 1), lambda i: na[c][i] + mu * (na[c][i] - a[c][i]))),
+    nb, list_transform(range(1, m + 1), lambda c: nb[c] + mu * (nb[c] - b[c]))
+  FROM (
+    SELECT t, a, b, m, n, (sqrt(n) - 1) / (sqrt(n) + 1) AS mu,
+      list_transform(range(1, m + 1), lambda c: list_transform(range(1, n + 1), lambda i: y[c][i] - r[i][c] - y[c][i] / n)) AS na,
+      list_transform(range(1, m + 1), lambda c: z[c] - list_sum(list_transform(range(1, n + 1), lambda i: r[i][c]))) AS nb
+    FROM (
+      SELECT t, a, b, y, z, m, n, list_transform(range(1, n + 1), lambda i: list_transform(range(1, m + 1),
+        lambda c: facts.w[i] * (e[i][c] / list_sum(e[i]) - (facts.c[i] = c)::INT) / n)) AS r
+      FROM (
+        SELECT t, a, b, y, z, m, n, list_transform(range(1, n + 1), lambda i: list_transform(range(1, m + 1), lambda c: exp(list_dot_product(k[i], y[c]) + z[c]))) AS e
+        FROM fit, gram, classes WHERE t < PASSES)
+      , facts))
+),
+solved AS (SELECT a, b FROM fit ORDER BY t DESC LIMIT 1),
+shares AS (
+  SELECT id, label, names, list_transform(range(1, m + 1), lambda c: exp(list_dot_product(row, a[c]) + b[c])) AS e
+  FROM rows JOIN dots USING (id), solved, classes WHERE NOT train),
+answers AS (SELECT id AS item_id, label AS gold, names[list_position(e, list_max(e))] AS pred, list_max(e) / list_sum(e) AS confidence FROM shares)
+"""
+
+
+def logistic(rows: str, text: bool, passes: int = 800) -> str:
+    """CTEs up to ``answers`` (item_id, gold, pred, confidence) for the rows that are not for training."""
+    return f"WITH RECURSIVE {rows}," + _CLASSES + "," + (_TEXT_DOTS if text else _VECTOR_DOTS) + "," + _DESCENT.replace("PASSES", str(passes))
+
+
+def scored_answers(system: str) -> str:
+    return f", scored AS (SELECT '{system}' AS system, item_id, pred, gold, pred = gold AS correct FROM answers)"
+
+
+SYSTEM_ROWS = ACCURACY_CI + LABEL_COUNTS + """
+SELECT ci.system AS name, ci.n, round(k / ci.n, 6) AS accuracy, round(ci_low, 6) AS ci_low, round(ci_high, 6) AS ci_high, round(mf, 6) AS macro_f1
+FROM ci JOIN (SELECT system, avg(f1) AS mf FROM per_label GROUP BY 1) m ON m.system = ci.system
+"""
+
+
+def curve(sizes: list[int]) -> str:
+    """Held-out accuracy of models fitted on the first rows in random order."""
+    parts = []
+    for size in sizes:
+        rows = f"""placed AS (SELECT *, row_number() OVER (ORDER BY md5('0-' || doc_id), doc_id) AS place FROM documents WHERE {IS_TRAIN}),
+rows AS (SELECT doc_id AS id, lang AS label, text, true AS train FROM placed WHERE place <= {size}
+  UNION ALL SELECT doc_id, lang, text, false FROM documents WHERE NOT ({IS_TRAIN}))"""
+        parts.append(f"SELECT * FROM ({logistic(rows, True)} SELECT {size}::BIGINT AS trained_on, count(*) AS n, round(avg((pred = gold)::INT), 6) AS accuracy FROM answers)")
+    return "\nUNION ALL\n".join(parts)
