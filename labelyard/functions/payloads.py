@@ -84,6 +84,32 @@ def normalise_payload(payload: Column, depth: int = 4) -> Column:
     )
 
 
+def nesting(payload: Column) -> Column:
+    """How deep the brackets of a JSON text are nested; those inside strings don't count."""
+    bare = F.regexp_replace(payload, r'"(?:[^"\\]++|\\.)*+"', "")
+    marks = F.split(F.regexp_replace(bare, r"[^\[\]{}]", ""), "")
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+
+    def walk(seen: Column, mark: Column) -> Column:
+        now = seen["now"] + F.when(mark.isin("[", "{"), 1).when(mark.isin("]", "}"), -1).otherwise(0)
+        return F.struct(now.alias("now"), F.greatest(now, seen["most"]).alias("most"))
+
+    return F.aggregate(marks, start, walk, lambda seen: seen["most"])
+
+
+def normalise_payloads(df: DataFrame, payload: str, name: str) -> DataFrame:
+    """Add ``name``, the label array of a payload column of any depth.
+
+    The deepest nesting in the table is looked up first, and every level is opened in a step of its own,
+    so nothing is refused or lost.
+    """
+    deepest = df.agg(F.max(nesting(F.col(payload)))).first()[0] or 0
+    out = df.withColumn(name, F.array(F.try_parse_json(F.col(payload))))
+    for _ in range(deepest):
+        out = out.withColumn(name, F.flatten(F.transform(_typed(F.col(name)), _open)))
+    return out.withColumn(name, label_array(F.transform(name, _scalar_text)))
+
+
 def clean_confidence(value: Column) -> Column:
     """Double value of a confidence; NULL when it does not cast or is NaN."""
     number = value.try_cast("double")

@@ -7,11 +7,12 @@ from pyspark.sql import DataFrame, functions as F
 from .schema import collect_heads
 
 
-def prediction_gate(predictions: DataFrame, schema: DataFrame) -> DataFrame:
+def prediction_gate(predictions: DataFrame, schema: DataFrame, items: DataFrame | None = None) -> DataFrame:
     """Violations ``rule, item_id, head, detail`` of predictions against their schema.
 
     Rules: every label belongs to its head, every head is answered, a confidence
-    lies in [0, 1], and a multi-label answer is not empty.
+    lies in [0, 1], and a multi-label answer is not empty. With ``items``, an item
+    without any answer is reported for every head; otherwise only items that have some answer are known.
     """
     heads = collect_heads(schema)
     allowed = F.create_map(*[
@@ -37,7 +38,10 @@ def prediction_gate(predictions: DataFrame, schema: DataFrame) -> DataFrame:
     row_faults = predictions.select(
         "item_id", "head", F.explode(F.filter(faults, lambda f: f.isNotNull())).alias("f")
     ).select("f.rule", "item_id", "head", "f.detail")
-    answered = predictions.groupBy("item_id").agg(F.collect_set("head").alias("answered"))
+    asked = predictions.select("item_id", "head")
+    if items is not None:
+        asked = asked.unionByName(items.select("item_id", F.lit(None).cast("string").alias("head")))
+    answered = asked.groupBy("item_id").agg(F.collect_set("head").alias("answered"))
     every = F.array(*[F.lit(name) for name in heads])
     missing = answered.select(
         F.lit("head_missing").alias("rule"), "item_id",

@@ -1,4 +1,4 @@
-"""Exact order statistics per group without gathering a group anywhere."""
+"""Exact order statistics per group, and places in a total order, without a task that holds a group."""
 
 from __future__ import annotations
 
@@ -8,12 +8,9 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..sizing import broadcast_if_small, materialise
 
-# The sketch finds any rank within 1/ACCURACY of the group size; SLACK is ten
-# times that, so the wanted value always lies inside the bracket. A sketch stays
-# well below a megabyte per task, and a bracket holds 2 * SLACK of a group.
-ACCURACY = 10_000
-SLACK = 1e-3
-# Up to this many rows the bracket is simply the whole group.
+# A bracket is narrowed between so many values of a quantile sketch of itself, until it holds at most
+# SMALL_GROUP rows; only then are its values ranked in one task.
+GRID, ACCURACY = 64, 1_000
 SMALL_GROUP = 100_000
 
 Rank = tuple[float, Callable[[Column], Column]]
@@ -46,51 +43,57 @@ def order_statistics(
 ) -> DataFrame:
     """Values at zero-based ranks: one row per group with ``n`` and a column per name.
 
-    First pass: a mergeable quantile sketch per group brackets every wanted rank.
-    Second pass: everything below a bracket collapses into one counter before the
-    shuffle, everything inside is counted per distinct value, and a running count
-    over that small remainder finds the exact element. A group of any size is
-    combined on the map side, so a dominant group costs no more than the others.
+    Every wanted rank has a bracket, at first the whole group. A round counts how many rows of a large
+    bracket lie at and between the values of a quantile sketch of it, which needs a few counters per
+    group and task, and goes on with the part that holds the rank. The counts are exact, so the sketch only
+    decides how fast a bracket shrinks; a value that many rows share is found by its count.
+    Rounds grow with the logarithm of a group's size, and no task ranks more than ``SMALL_GROUP`` rows.
     """
     v = F.col(value)
     rows = df.select(*by, v).filter(v.isNotNull())
     names = list(ranks)
-    shares = [p for name in names for p in (ranks[name][0] - SLACK, ranks[name][0] + SLACK)]
-    shares = [min(1.0, max(0.0, p)) for p in shares]
-    sketch = rows.groupBy(*by).agg(
-        F.count(v).alias("n"),
-        F.min(v).alias("_min"),
-        F.max(v).alias("_max"),
-        F.percentile_approx(v, [float(p) for p in shares], ACCURACY).alias("_at"),
+    sketch = F.percentile_approx(v, [i / GRID for i in range(GRID + 1)], ACCURACY)
+    group = rows.groupBy(*by).agg(F.count(v).alias("n"), F.min(v).alias("lo"), F.max(v).alias("hi"), sketch.alias("at"))
+    wanted = F.array(*[F.struct(F.lit(name).alias("name"), ranks[name][1](F.col("n")).cast("long").alias("rank")) for name in names])
+    fields = ["name", "rank", "lo", "hi", "closed", "inside", "at"]
+    open_ = group.select(*by, "n", F.explode(wanted).alias("w"), "lo", "hi", "at").select(
+        *by, "n", F.col("w.name").alias("name"), F.col("w.rank").alias("rank"), "lo", "hi",
+        F.lit(True).alias("closed"), F.when(F.col("lo") == F.col("hi"), 1).otherwise(F.col("n")).alias("inside"), "at",
     )
-    small = F.col("n") <= SMALL_GROUP
-    wanted = F.array(*[
-        F.struct(
-            F.lit(name).alias("name"),
-            F.when(small, F.col("_min")).otherwise(F.get("_at", F.lit(2 * i))).alias("lo"),
-            F.when(small, F.col("_max")).otherwise(F.get("_at", F.lit(2 * i + 1))).alias("hi"),
-            ranks[name][1](F.col("n")).cast("long").alias("rank"),
+    state = broadcast_if_small(materialise(open_, "brackets"))
+    within = (v > F.col("lo")) & (v < F.col("hi")) | F.col("closed") & ((v == F.col("lo")) | (v == F.col("hi")))
+    while (state.agg(F.max("inside")).first()[0] or 0) > SMALL_GROUP:
+        wide, rest = state.filter(F.col("inside") > SMALL_GROUP), state.filter(F.col("inside") <= SMALL_GROUP)
+        cuts = F.array_distinct(F.concat(F.array("lo"), "at", F.array("hi")))
+        wide = wide.withColumn("cuts", F.array_sort(cuts)).drop("at")
+        # even parts are the cuts themselves, odd ones what lies between two of them
+        part = 2 * F.size(F.filter("cuts", lambda x: x < v)) - F.when(F.array_contains("cuts", v), 0).otherwise(1)
+        keep = [*by, "n", "name", "rank", "cuts"]
+        counted = rows.join(broadcast_if_small(wide), by).filter(within).groupBy(*keep, part.alias("part")).agg(F.count(F.lit(1)).alias("c"))
+        before = F.sum("c").over(W.partitionBy(*by, "name").orderBy("part").rowsBetween(W.unboundedPreceding, -1))
+        held = counted.withColumn("before", F.coalesce(before, F.lit(0))).filter(
+            (F.col("before") <= F.col("rank")) & (F.col("before") + F.col("c") > F.col("rank"))
         )
-        for i, name in enumerate(names)
-    ])
-    brackets = broadcast_if_small(sketch.select(*by, "n", F.explode(wanted).alias("w")))
-    keyed = (
-        rows.join(brackets, by)
-        .filter(v <= F.col("w.hi"))
-        .groupBy(*by, "n", "w", F.when(v >= F.col("w.lo"), v).alias("_value"))
-        .agg(F.count(F.lit(1)).alias("c"))
-    )
-    running = W.partitionBy(*by, "w.name").orderBy(F.col("_value").asc_nulls_first())
-    found = (
-        keyed.withColumn("_name", F.col("w.name"))
-        .withColumn("upto", F.sum("c").over(running.rowsBetween(W.unboundedPreceding, 0)))
-        .filter(
-            (F.col("upto") > F.col("w.rank")) & (F.col("upto") - F.col("c") <= F.col("w.rank"))
+        first = F.floor(F.col("part") / 2).cast("int")
+        exact = F.col("part") % 2 == 0
+        narrowed = held.select(
+            *by, "n", "name", (F.col("rank") - F.col("before")).alias("rank"), F.get("cuts", first).alias("lo"),
+            F.get("cuts", F.when(exact, first).otherwise(first + 1)).alias("hi"), exact.alias("closed"),
+            F.when(exact, 1).otherwise(F.col("c")).alias("inside"),
         )
+        narrowed = broadcast_if_small(materialise(narrowed, "brackets"))
+        again = rows.join(narrowed.filter(F.col("inside") > SMALL_GROUP), by).filter(within).groupBy(*by, "name").agg(sketch.alias("at"))
+        narrowed = narrowed.join(broadcast_if_small(again), [*by, "name"], "left")
+        state = broadcast_if_small(materialise(rest.select(*by, "n", *fields).unionByName(narrowed.select(*by, "n", *fields)), "brackets"))
+    single = (F.col("lo") == F.col("hi")) & F.col("closed")
+    counted = (
+        rows.join(broadcast_if_small(state.filter(~single).drop("at")), by).filter(within)
+        .groupBy(*by, "n", "name", "rank", v.alias("_value")).agg(F.count(F.lit(1)).alias("c"))
     )
-    hit = F.when(
-        F.col("_value").isNull(), F.raise_error(F.lit("rank outside its bracket")).cast("double")
-    ).otherwise(F.col("_value"))
+    running = W.partitionBy(*by, "name").orderBy("_value").rowsBetween(W.unboundedPreceding, 0)
+    found = counted.withColumn("upto", F.sum("c").over(running)).filter(
+        (F.col("upto") > F.col("rank")) & (F.col("upto") - F.col("c") <= F.col("rank"))
+    ).select(*by, "n", "name", "_value").unionByName(state.filter(single).select(*by, "n", "name", F.col("lo").alias("_value")))
     return found.groupBy(*by, "n").agg(
-        *[F.max(F.when(F.col("_name") == name, hit)).alias(name) for name in names]
+        *[F.max(F.when(F.col("name") == name, F.col("_value"))).alias(name) for name in names]
     )

@@ -9,25 +9,28 @@ from pyspark.errors import SparkRuntimeException
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.replies import reply_record
+from ..operators.arms import classify_many, lexical_scorer, predictions_of
 from ..operators.labels import description_coverage
-from ..operators.route import route
 from ..operators.sampling import first_n
 from ..operators.schema import build_schema, inflation_note
 from ..operators.scoring import (
     majority_floor, score_items, system_scores, tally,
 )
 from ..operators.stats import bootstrap_ci, compare_pairs, pair_cells
-from ..operators.supervised import build_arm, timed_predictions
+from ..operators.supervised import MAX_CLASSES, MAX_ITER, build_arm, timed_predictions
 from ..operators.usage import (
     cost_per_1k, latency_percentiles, reply_notes, reply_quality, timing_note, with_unusable,
 )
 from ..sizing import broadcast_if_small, materialise, take_bounded
-from ..types import MAX_LABELS, MAX_SYSTEMS, PANEL_COLUMNS, UNAVAILABLE
+from ..sources.cache import cached_predictions, load_or_fit, training_fingerprint
+from ..types import MAX_SYSTEMS, PANEL_COLUMNS, UNAVAILABLE
 
 # Fixed value: the description of the metric that goes with every panel.
 METRIC = (
     "exact-set match (a prediction is correct only if the label set equals the reference)"
 )
+# A supervised arm answers a slice in so many parts, each with a time of its own.
+TIMED_PARTS = 4
 ZERO_SHOT, SUPERVISED, EXTERNAL = "zero_shot", "supervised", "external"
 
 # Requestable systems: display name and role.
@@ -206,6 +209,9 @@ def run_panel(
     name: str = "",
     note: str = "",
     method: str = "exact",
+    cache: str | None = None,
+    num_features: int | None = None,
+    max_iter: int = MAX_ITER,
 ) -> Panel:
     """Run the requested systems on one slice and score them.
 
@@ -213,7 +219,10 @@ def run_panel(
     ``labels`` has ``label, ord[, description]``. ``train`` returns the training
     rows, or raises where there are none. ``replies`` are the answers of an
     external model, ``item_id, content, latency_ms, prompt_tokens,
-    completion_tokens, error``.
+    completion_tokens, error``. Every arm is timed: zero-shot ones by chunks of calls,
+    supervised ones by parts of the slice. With ``cache``, a folder, answers and fitted arms are kept there;
+    a later run scores only items, texts, labels or training rows that it has not seen.
+    ``num_features`` and ``max_iter`` go to the supervised text arms.
     """
     unknown = [s for s in systems if s not in SYSTEMS]
     if unknown:
@@ -233,7 +242,17 @@ def run_panel(
         schema = build_schema(labels, described=use_descriptions)
         row = inflation_note(schema).first()
         text = [row["note"], "zero-shot, 0 training examples", row["warning"] or ""]
-        return lambda: route(sliced, schema).select("item_id", "labels"), text
+
+        def answer(part: DataFrame) -> DataFrame:
+            return predictions_of(classify_many(part, schema, lexical_scorer, system="zero_shot")).drop("system")
+
+        def arm() -> DataFrame:
+            if cache is None:
+                return answer(sliced).select("item_id", "labels", "latency_ms")
+            known = cached_predictions(sliced, schema, answer, system="zero_shot", path=f"{cache}/predictions")
+            return known.select("item_id", "labels", "latency_ms")
+
+        return arm, text
 
     for key in systems:
         title, role = SYSTEMS[key]
@@ -248,12 +267,26 @@ def run_panel(
             def supervised(key: str = key, title: str = title) -> DataFrame:
                 if train is None:
                     raise FileNotFoundError(f"no train split for {name}")
-                arm = build_arm(key, train())
+                rows = train()
+                if cache is None:
+                    arm = build_arm(key, rows, num_features=num_features, max_iter=max_iter)
+                else:
+                    named = f"{key}-{num_features}-{max_iter}-{training_fingerprint(rows)}"
+                    arm = load_or_fit(spark, key, rows, f"{cache}/arms/{named}", num_features=num_features, max_iter=max_iter)
                 notes.append((title, [
                     f"trained on {arm.trained_on:,} labelled examples",
                     f"{len(arm.labels)}-way fixed taxonomy",
                 ]))
-                return timed_predictions(arm, sliced, title).select("item_id", "labels", "latency_ms")
+
+                def answer(part: DataFrame) -> DataFrame:
+                    return timed_predictions(arm, part, title, parts=TIMED_PARTS).drop("system").withColumn("head", F.lit("label"))
+
+                if cache is None:
+                    return answer(sliced).select("item_id", "labels", "latency_ms")
+                # an answer on vectors depends on them rather than on the text
+                keyed = sliced.withColumn("text", F.to_json(F.struct("embedding"))) if key == "embedding" else sliced
+                known = cached_predictions(keyed, None, answer, system=key, path=f"{cache}/predictions", fingerprint=named)
+                return known.select("item_id", "labels", "latency_ms")
 
             arms[title] = supervised
         elif replies is None:
@@ -261,7 +294,7 @@ def run_panel(
         else:
             names = [
                 r["label"] for r in take_bounded(
-                    labels.select("label", "ord").orderBy("ord"), MAX_LABELS, "label set"
+                    labels.select("label", "ord").orderBy("ord"), MAX_CLASSES, "label set"
                 )
             ]
             record = reply_record(F.col("content"), names)

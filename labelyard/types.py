@@ -47,8 +47,6 @@ UNAVAILABLE = T.StructType([
     T.StructField("reason", T.StringType()),
 ])
 
-PREDICTION_COLUMNS = ["system", "item_id", "head", "labels", "confidence"]
-
 PANEL_COLUMNS = [
     "name", "n", "accuracy", "ci_low", "ci_high", "macro_f1", "p50_ms",
     "p95_ms", "cost_per_1k_usd", "cost_status", "notes",
@@ -56,6 +54,5 @@ PANEL_COLUMNS = [
 
 # The largest label set one head may carry (fixed limit of the request contract).
 MAX_LABELS = 512
-# Bounds on what the driver may hold or inline into a plan.
-MAX_SYSTEMS = 64
-MAX_HEADS = 64
+# What the driver may hold: one row per system.
+MAX_SYSTEMS = 10_000

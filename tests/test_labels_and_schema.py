@@ -131,5 +131,8 @@ def test_gate(spark):
     rows = [(1, "i", ["a"], 0.5), (1, "m", ["x"], None), (2, "i", ["q"], 1.5), (2, "m", [], 0.1), (3, "i", ["b"], float("nan"))]
     df = spark.createDataFrame(rows, "item_id long, head string, labels array<string>, confidence double")
     got = sorted((r["rule"], r["item_id"], r["head"]) for r in prediction_gate(df, schema).collect())
+    items = spark.createDataFrame([(1,), (2,), (3,), (4,)], "item_id long")
+    silent = {(r["item_id"], r["head"]) for r in prediction_gate(df, schema, items).collect() if r["rule"] == "head_missing"}
+    assert silent == {(3, "m"), (4, "i"), (4, "m")}
     assert got == [("confidence_out_of_range", 2, "i"), ("confidence_out_of_range", 3, "i"),
                    ("empty_multi_label", 2, "m"), ("head_missing", 3, "m"), ("label_outside_schema", 2, "i")]

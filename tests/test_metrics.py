@@ -160,10 +160,10 @@ def test_latency_percentiles(spark, monkeypatch):
 
     rng = random.Random(3)
     data = {"a": [float(i) for i in range(20)], "b": [rng.choice([1.0, 2.5, 9.0]) for _ in range(501)],
-            "c": [rng.random() for _ in range(40_000)], "d": [7.0]}
+            "c": [rng.random() for _ in range(40_000)], "d": [7.0], "e": [float(int(rng.random() ** 4 * 60)) for _ in range(3_000)]}
     df = spark.createDataFrame([(s, v) for s, vs in data.items() for v in vs] + [("a", None)], "system string, latency_ms double")
-    # Second round: groups count as large, so the sketch brackets are used.
-    for limit in (ranks.SMALL_GROUP, 30_000):
+    # Then groups count as large, so brackets are narrowed, once and several times.
+    for limit in (ranks.SMALL_GROUP, 30_000, 40, 1):
         monkeypatch.setattr(ranks, "SMALL_GROUP", limit)
         for r in usage.latency_percentiles(df).collect():
             values = sorted(data[r["system"]])
@@ -172,6 +172,17 @@ def test_latency_percentiles(spark, monkeypatch):
             assert r["p95_ms"] == values[min(len(values) - 1, int(0.95 * len(values)))]
 
 
+def test_ranks_of_a_million_distinct_values(spark, monkeypatch):
+    """No task ranks more than the bound, however many values a group has."""
+    from labelyard.operators import ranks
+
+    monkeypatch.setattr(ranks, "SMALL_GROUP", 500)
+    n = 1_000_003
+    df = spark.range(n).select(F.lit("a").alias("system"), F.pmod(F.col("id") * 7919, F.lit(n)).cast("double").alias("latency_ms"))
+    row = usage.latency_percentiles(df, both_medians=True).first()
+    assert (row["n"], row["p50_ms"], row["p95_ms"], row["upper_p50_ms"]) == (n, n // 2, int(0.95 * n), n // 2)
+
+
 def test_cost_states(spark):
     df = spark.createDataFrame([("llm", 100, 10), ("llm", None, None)], "system string, prompt_tokens long, completion_tokens long")
     priced = usage.cost_per_1k(df, input_per_mtok=1.0, output_per_mtok=0.0).first()

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from labelyard.functions import normalise_payload, parse_predictions
+from labelyard.functions import normalise_payload, normalise_payloads, parse_predictions
 
 SHAPES = {
     '"a"': ["a"], '["a","b"]': ["a", "b"], '{"label":"a","confidence":0.9}': ["a"],
@@ -24,6 +24,13 @@ def test_too_deep_payload_raises_instead_of_losing_labels(spark):
         df.select(normalise_payload(F.col("p"))).collect()
 
 
+@pytest.mark.parametrize("depth", [0, 5, 40])
+def test_payload_tables_of_any_depth(spark, depth):
+    rows = [("[" * depth + '"a"' + "]" * depth,), ('{"label":' * depth + '["b", "a"]' + "}" * depth,), ('"[[[[[[ \\" ]"',), (None,), ("[" * 9,)]
+    got = [r["l"] for r in normalise_payloads(spark.createDataFrame(rows, "p string"), "p", "l").collect()]
+    assert got == [["a"], ["a", "b"], ['[[[[[[ " ]'], [], []]
+
+
 def test_parse_predictions_shapes(spark):
     payloads = [
         '{"intent":"a"}', '{"intent":{"label":"a","confidence":0.5}}',

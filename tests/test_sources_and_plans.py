@@ -261,3 +261,76 @@ def test_optimiser_sums_large_gradients_in_blocks(spark, monkeypatch):
     step[7] = 1e-6
     up, down = (logistic.Objective(table, 40, 3, 0.1, 51.0).at(theta + sign * step)[0] for sign in (1, -1))
     assert direct[1][7] == pytest.approx((up - down) / 2e-6, rel=1e-4)
+
+
+def test_concurrent_cache_runs_double_nothing(spark, texts, labels, tmp_path):
+    """A run that commits while another one is scoring; the later one leaves out what the first has committed."""
+    from labelyard.sources.cache import Runs, _entries
+
+    path, schema = str(tmp_path / "cache"), build_schema(labels)
+
+    def answer(df, said):
+        return df.select("item_id", F.lit("intent").alias("head"), F.array(F.lit(said)).alias("labels"), F.lit(1.0).alias("confidence"))
+
+    def slow(df):
+        inner = cached_predictions(texts.filter("item_id < 3"), schema, lambda d: answer(d, "first"), system="s", path=path)
+        assert inner.count() == 3
+        return answer(df, "second")
+
+    assert cached_predictions(texts, schema, slow, system="s", path=path).count() == 6
+    cached_predictions(texts, schema, lambda d: answer(d, "other"), system="t", path=path)
+    got = cached_predictions(texts, schema, lambda d: pytest.fail("scored again"), system="s", path=path).collect()
+    assert sorted((r["item_id"], r["labels"][0]) for r in got) == [(i, "first" if i < 3 else "second") for i in range(6)]
+    number, runs = Runs(spark, path, "s", "", _entries(texts.schema["item_id"].dataType)).committed()
+    assert number == 3 and len(runs) == 3
+
+
+def test_panel_keeps_arms_and_answers(spark, texts, labels, tmp_path):
+    train = spark.createDataFrame([(100 + i, t, g) for i, (t, g) in enumerate(TEXTS * 3)], "item_id long, text string, label string")
+    options = dict(systems=["zero_shot_described", "tfidf"], train=lambda: train, limit=None, cache=str(tmp_path / "kept"))
+    first, again = (run_panel(texts, labels, **options) for _ in range(2))
+    one, two = ({r["name"]: r for r in p.systems.collect()} for p in (first, again))
+    assert one == two and len(one) == 3  # equal latencies too: nothing was measured anew
+    assert all(r["p50_ms"] is not None and r["p95_ms"] is not None for n, r in one.items() if "majority" not in n)
+    assert len(list((tmp_path / "kept" / "predictions" / "commits").glob("*.json"))) == 2
+    options["train"] = lambda: train.filter("item_id < 115")
+    run_panel(texts, labels, **options)
+    assert len(list((tmp_path / "kept" / "arms").iterdir())) == 2
+    assert len(list((tmp_path / "kept" / "predictions" / "commits").glob("*.json"))) == 3
+
+
+def test_external_calls_resume_from_their_log(spark, texts, tmp_path):
+    """A job that fails keeps the replies of finished tasks; a later run asks only for the others, in tasks of bounded size."""
+    asked = tmp_path / "asked"
+    asked.mkdir()
+    log = str(tmp_path / "log")
+
+    def client(broken: bool):
+        def factory():
+            def call(text, names):
+                (asked / f"{len(list(asked.iterdir()))}-{text[:6].strip()}-{np.random.default_rng().integers(1 << 60)}").touch()
+                if broken and "maison" in text:
+                    raise SystemExit("the task dies")
+                return {"content": names[0], "prompt_tokens": 1, "completion_tokens": None}
+            return call
+        return factory
+
+    options = dict(system="x", concurrency=2, log=log, items_per_task=1)
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(["the house", "la maison", "the dog", "the cat", None, ""])] + [(0, "the house")], "item_id long, text string")
+    with pytest.raises(Exception):
+        arms.score_external(rows, ["en"], client(True), **options).collect()
+    before = len(list(asked.iterdir()))
+    kept = sum(r["item_id"] != 1 for r in spark.read.option("recursiveFileLookup", "true").parquet(log).collect())
+    got = arms.score_external(rows, ["en"], client(False), **options).collect()
+    assert sorted(r["item_id"] for r in got) == [0, 0, 1, 2, 3, 4, 5] and all(r["content"] == "en" for r in got)
+    assert len(list(asked.iterdir())) - before == 6 - kept
+    arms.score_external(rows, ["en"], client(False), **options).collect()
+    assert len(list(asked.iterdir())) - before == 6 - kept  # nothing is asked again
+    arms.score_external(rows.withColumn("text", F.lit("changed")), ["en"], client(False), **options).collect()
+    assert len(list(asked.iterdir())) - before == 12 - kept
+
+
+def test_schemas_of_many_heads(spark):
+    from labelyard.operators.schema import Head, collect_heads, schema_from_heads
+
+    assert len(collect_heads(schema_from_heads(spark, [Head(f"h{i}", ["a", "b"]) for i in range(200)]))) == 200

@@ -5,7 +5,7 @@ from __future__ import annotations
 import time
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from labelyard.functions import (
     build_prompt, clean_confidence, extract_label, min_confidence, normalise_payload,
@@ -566,26 +566,31 @@ def retry_fold(spark, sf):
 
 
 @query(f"""
-WITH p AS (
-  SELECT doc_id AS item_id, 'lang' AS head, CASE WHEN n_chars > 5000 THEN source ELSE lang END AS label, n_chars / 10000.0 AS confidence FROM documents),
-f AS (SELECT doc_id AS item_id, quality + toxic AS kept FROM labels)
+WITH asked AS (SELECT * FROM documents WHERE source <> 'src7'),
+p AS (
+  SELECT doc_id AS item_id, 'lang' AS head, CASE WHEN n_chars > 5000 THEN source ELSE lang END AS label, n_chars / 10000.0 AS confidence FROM asked),
+f AS (SELECT a.doc_id AS item_id, quality + toxic AS kept FROM labels l JOIN asked a ON a.doc_id = l.doc_id)
 SELECT 'label_outside_schema' AS rule, item_id, head, label AS detail FROM p WHERE label NOT IN ('de','en','es','fr')
 UNION ALL SELECT 'confidence_out_of_range', item_id, head, confidence::DOUBLE::VARCHAR FROM p WHERE confidence > 1
 UNION ALL SELECT 'empty_multi_label', item_id, 'flags', 'no label kept' FROM f WHERE kept = 0
-UNION ALL SELECT 'head_missing', item_id, 'flags', 'no answer for this head' FROM p WHERE item_id NOT IN (SELECT item_id FROM f)
+UNION ALL SELECT 'head_missing', doc_id, 'flags', 'no answer for this head' FROM documents WHERE doc_id NOT IN (SELECT item_id FROM f)
+UNION ALL SELECT 'head_missing', doc_id, 'lang', 'no answer for this head' FROM documents WHERE source = 'src7'
 """)
 def gate_violations(spark, sf):
+    # One source got no answer at all.
     heads = [b.language_head("lang", 10), schema_ops.Head("flags", ["quality", "toxic"], multi_label=True)]
     schema = schema_ops.schema_from_heads(spark, heads)
-    lang = b.documents(spark, sf).select(
+    docs = b.documents(spark, sf)
+    answered = docs.filter("source <> 'src7'")
+    lang = answered.select(
         "item_id", F.lit("lang").alias("head"),
         F.array(F.when(F.col("n_chars") > 5000, F.col("source")).otherwise(F.col("label"))).alias("labels"),
         (F.col("n_chars") / 10000.0).alias("confidence"),
     )
-    flags = b.flags(spark, sf).select(
+    flags = b.flags(spark, sf).join(answered.select("item_id"), "item_id", "left_semi").select(
         "item_id", F.lit("flags").alias("head"), F.col("gold").alias("labels"), F.lit(0.5).alias("confidence")
     )
-    return prediction_gate(lang.unionByName(flags), schema)
+    return prediction_gate(lang.unionByName(flags), schema, docs)
 
 
 # --- routing and scoring arms ------------------------------------------------------------
@@ -647,23 +652,26 @@ def bulk_classify(spark, sf):
 
 
 @query("""
-SELECT doc_id AS item_id, CASE WHEN strlen(text) <= 20000 THEN ['lang_de','lang_en','lang_es','lang_fr'][1 + strlen(text) % 4] END AS label,
-  CASE WHEN strlen(text) > 20000 THEN 'ValueError: context too long' END AS error, (strlen(text) <= 20000)::BOOL AS timed
+SELECT doc_id AS item_id, CASE WHEN doc_id % 11 <> 3 THEN ['lang_de','lang_en','lang_es','lang_fr'][1 + strlen(text) % 4] END AS label,
+  CASE WHEN doc_id % 11 = 3 THEN 'ConnectionError: refused' END AS error, (doc_id % 11 <> 3)::BOOL AS timed
 FROM documents
 """)
 def external_scoring(spark, sf):
-    def client_factory():
+    # The client refuses some items for good. A second run with the same log asks for those again and no others.
+    def client_factory(refuse_all: bool):
         def call(text: str, labels: list[str]) -> dict:
-            size = len(text.encode())
-            if size > 20_000:
-                raise ValueError("context too long")
+            mark, _, said = text.partition("|")
+            if refuse_all or int(mark) % 11 == 3:
+                raise ConnectionError("refused")
+            size = len(said.encode())
             return {"content": f"{size % len(labels)}", "prompt_tokens": size, "completion_tokens": 1}
 
         return call
 
-    out = arm_ops.score_external(
-        b.documents(spark, sf), b.REPLY_LABELS, client_factory, system="external", concurrency=4
-    )
+    docs = b.documents(spark, sf).select("item_id", F.concat("item_id", F.lit("|"), "text").alias("text"))
+    log = f"{workspace(spark)}/calls-{time.time_ns()}"
+    arm_ops.score_external(docs, b.REPLY_LABELS, lambda: client_factory(False), system="external", log=log)
+    out = arm_ops.score_external(docs, b.REPLY_LABELS, lambda: client_factory(True), system="external", log=log)
     return out.select(
         "item_id", extract_label(F.col("content"), b.REPLY_LABELS).alias("label"), "error",
         F.coalesce(F.col("latency_ms") >= 0, F.lit(False)).alias("timed"),
@@ -931,9 +939,7 @@ SELECT system, n, round(median(value), 6) AS p50_ms,
 FROM o GROUP BY system, n
 """)
 def latency_percentiles(spark, sf):
-    rows = b.usage(spark, sf)
-    upper = usage.latency_percentiles(rows, upper_median=True).select("system", F.col("p50_ms").alias("upper_p50_ms"))
-    return usage.latency_percentiles(rows).join(upper, "system").select(
+    return usage.latency_percentiles(b.usage(spark, sf), both_medians=True).select(
         "system", "n", *[r6(c).alias(c) for c in ("p50_ms", "p95_ms", "upper_p50_ms")]
     )
 
@@ -1091,18 +1097,51 @@ def unavailable_systems(spark, sf):
     ).unavailable
 
 
-@query()
-def full_panel(spark, sf):
+def _run_panel(spark, sf, **options) -> panel_plan.Panel:
     train, test = _doc_split(spark, sf)
-    replies = b.replies(spark, sf)
-    result = panel_plan.run_panel(
-        test.withColumn("gold", F.array(F.concat(F.lit("lang_"), F.col("label")))).select("item_id", "text", "gold"),
-        b.language_labels(spark).withColumn("label", F.concat(F.lit("lang_"), F.col("label"))),
-        systems=["zero_shot", "zero_shot_described", "tfidf", "external"], limit=None, name="documents",
-        train=lambda: train.select("item_id", "text", F.concat(F.lit("lang_"), F.col("label")).alias("label")),
-        replies=replies, input_per_mtok=3.0, output_per_mtok=15.0,
+    named = F.concat(F.lit("lang_"), F.col("label"))
+    return panel_plan.run_panel(
+        test.withColumn("gold", F.array(named)).select("item_id", "text", "gold"), b.language_labels(spark).withColumn("label", named),
+        limit=None, name="documents", train=lambda: train.select("item_id", "text", named.alias("label")), **options,
+    )
+
+
+@query(s.PANEL + """
+SELECT c.system AS name, c.n, round(k / c.n, 6) AS accuracy, round(ci_low, 6) AS ci_low, round(ci_high, 6) AS ci_high, round(mf, 6) AS macro_f1,
+  CASE WHEN c.system LIKE 'External%' THEN (SELECT round(sum(3.0 * (n_chars % 1000) + 15.0 * (n_chars % 7)) / 1e6 / count(*) * 1000, 6) FROM asked) END AS cost_per_1k_usd,
+  CASE WHEN c.system LIKE 'External%' THEN 'priced' ELSE 'free' END AS cost_status, true AS timed
+FROM ci c JOIN macro m ON m.system = c.system
+UNION ALL
+SELECT 'majority class (' || gold || ')', n, round(c / n, 6), NULL, NULL, round(2.0 * c / (c + n) / k, 6), NULL, 'free', false
+FROM (SELECT gold, count(*) AS c, (SELECT count(*) FROM asked) AS n, (SELECT count(DISTINCT gold) FROM asked) AS k FROM asked GROUP BY 1 ORDER BY c DESC, min(item_id) LIMIT 1)
+""")
+def full_panel(spark, sf):
+    rows = _run_panel(
+        spark, sf, systems=["zero_shot", "zero_shot_described", "tfidf", "external"],
+        replies=b.replies(spark, sf), input_per_mtok=3.0, output_per_mtok=15.0,
+    ).systems
+    rounded = [r6(c).alias(c) for c in ("accuracy", "ci_low", "ci_high", "macro_f1", "cost_per_1k_usd")]
+    timed = F.col("p50_ms").isNotNull() & F.col("p95_ms").isNotNull()
+    return rows.select("name", "n", *rounded, "cost_status", timed.alias("timed"))
+
+
+@query(s.PANEL + """
+SELECT c.system AS name, c.n, round(k / c.n, 6) AS accuracy, round(mf, 6) AS macro_f1, true AS timed, 0::BIGINT AS scored_again
+FROM ci c JOIN macro m ON m.system = c.system WHERE c.system IN ('TF-IDF + logistic regression', 'Word overlap + label descriptions')
+""")
+def panel_cached(spark, sf):
+    # The second run finds the fitted arm and every answer, so it commits nothing.
+    folder = f"{workspace(spark)}/panel-{time.time_ns()}"
+    options = dict(systems=["zero_shot_described", "tfidf"], cache=folder)
+    _run_panel(spark, sf, **options)
+    runs = cache.Runs(spark, f"{folder}/predictions", "", "", T.StructType())
+    before = runs.committed()[0]
+    rows = _run_panel(spark, sf, **options).systems.filter(~F.col("name").startswith("majority class"))
+    again = runs.committed()[0] - before
+    return rows.select(
+        "name", "n", r6("accuracy").alias("accuracy"), r6("macro_f1").alias("macro_f1"),
+        (F.col("p50_ms").isNotNull() & F.col("p95_ms").isNotNull()).alias("timed"), F.lit(again).cast("long").alias("scored_again"),
     )
-    return result.systems
 
 
 # --- transfer ------------------------------------------------------------------------------

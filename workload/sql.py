@@ -235,3 +235,19 @@ rows AS (SELECT doc_id AS id, lang AS label, text, true AS train FROM placed WHE
   UNION ALL SELECT doc_id, lang, text, false FROM documents WHERE NOT ({IS_TRAIN}))"""
         parts.append(f"SELECT * FROM ({logistic(rows, True)} SELECT {size}::BIGINT AS trained_on, count(*) AS n, round(avg((pred = gold)::INT), 6) AS accuracy FROM answers)")
     return "\nUNION ALL\n".join(parts)
+
+
+# The panel over the held-out half of the documents, labels written lang_xx.
+_PANEL_ROWS = DOCUMENT_ROWS.replace("lang AS label", "'lang_' || lang AS label")
+PANEL = logistic(_PANEL_ROWS, True) + ", " + route("documents", lex10=10).removeprefix("WITH ") + ", " + REPLIES.strip().removeprefix("WITH ") + f""",
+asked AS (SELECT doc_id AS item_id, 'lang_' || lang AS gold, n_chars FROM documents WHERE NOT ({IS_TRAIN})),
+given AS (
+  SELECT 'TF-IDF + logistic regression' AS system, item_id, pred FROM answers
+  UNION ALL SELECT 'Word overlap (zero-shot)', a.item_id, arg_max(o.label, (SELECT count(*) FROM tok t WHERE t.item_id = a.item_id AND 'lang_' || t.tok = o.label) * 1000 - o.ord)
+    FROM asked a CROSS JOIN opts o GROUP BY a.item_id
+  UNION ALL SELECT 'Word overlap + label descriptions', item_id, 'lang_' || label FROM lex10_ans
+  UNION ALL SELECT 'External model (zero-shot)', item_id, coalesce(label, '__none__') FROM parsed),
+scored AS (SELECT system, item_id, pred, gold, pred = gold AS correct FROM given JOIN asked USING (item_id))
+""" + ACCURACY_CI + LABEL_COUNTS + """,
+macro AS (SELECT system, avg(f1) AS mf FROM per_label GROUP BY 1)
+"""
