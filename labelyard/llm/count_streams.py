@@ -22,13 +22,14 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window, functions as F
 
 from labelyard.llm.shingles import byte_hashes, mixed
+from labelyard.llm.workers import batches_of_texts
 from labelyard.sizing import materialise
 
 #: Bytes between words, and bytes that end a piece.
 BLANK, BREAK = b" \t", b".,;:!?\n\x0b\x0c\r"
 LONGEST = 5
 #: Bytes of text that are counted at once; a longer piece is counted whole.
-SLICE = 4 << 20
+SLICE = 1 << 20
 #: Bits for each frequent word or pair, look-ups, least and largest filter, and the stretch one task builds.
 BITS_PER_KEY, PROBES, LARGEST_BITS, STRETCH_BITS = 16, 3, 1 << 28, 1 << 16
 PHRASE = "lang string, words array<string>, a long"
@@ -81,7 +82,7 @@ class Words:
         return mixed(self.hashes[:-1] * np.uint64(0x9E3779B97F4A7C15) + self.hashes[1:])
 
 
-def stretches(texts: list[str | None], most: int = SLICE) -> Iterator[bytes]:
+def stretches(texts: list[str | None], most: int) -> Iterator[bytes]:
     """The texts, joined by newlines, in stretches of about ``most`` bytes that end where a piece ends."""
     held: list[bytes] = []
     size = 0
@@ -159,18 +160,33 @@ def counted(docs: DataFrame, order: int, words: Broadcast | None = None, pairs:
     all known pairs; those of fewer than three words say nothing new.
     """
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, list] = {}
+        sizes: dict[str, int] = {}
         for batch in batches:
-            langs = np.array(batch.column(0).to_pylist(), dtype=object)
-            texts = batch.column(1)
-            for lang in sorted(set(langs.tolist())):
-                for stretch in stretches(texts.take(pa.array(np.flatnonzero(langs == lang))).to_pylist()):
-                    held = Words(stretch, lang)
-                    first, last = chosen(held)
-                    if len(first):
-                        found = pc.value_counts(held.gathered(first, last))
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array([lang] * len(found), pa.string()), found.field(0).cast(pa.string()), found.field(1)], ["lang", "phrase", "n"]
-                        )
+            for some in batches_of_texts(batch, 1, SLICE):
+                for lang, text in zip(some.column(0).to_pylist(), some.column(1).to_pylist()):
+                    held.setdefault(lang, []).append(text)
+                    sizes[lang] = sizes.get(lang, 0) + len(text or "") + 1
+                    if sizes[lang] >= SLICE:
+                        sizes.pop(lang)
+                        yield from counts(lang, held.pop(lang))
+                if sum(sizes.values()) >= 4 * SLICE:  # many languages
+                    sizes.clear()
+                    for lang in [*held]:
+                        yield from counts(lang, held.pop(lang))
+        for lang in [*held]:
+            yield from counts(lang, held.pop(lang))
+
+    def counts(lang: str, texts: list) -> Iterator[pa.RecordBatch]:
+        for stretch in stretches(texts, SLICE):
+            whole = Words(stretch, lang)
+            first, last = chosen(whole)
+            if len(first):
+                found = pc.value_counts(whole.gathered(first, last))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([lang] * len(found), pa.string()), found.field(0).cast(pa.string()), found.field(1)], ["lang", "phrase", "n"]
+                )
+        pa.default_memory_pool().release_unused()
 
     def chosen(held: Words) -> tuple[np.ndarray, np.ndarray]:
         every = np.arange(len(held.starts))
