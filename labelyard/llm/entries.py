@@ -38,10 +38,11 @@ def tokenizer_path() -> str:
 
 @query("""
 WITH codes AS (
-  SELECT vec_id, list_sum(list_transform(range(0, 32), lambda i: CASE WHEN embedding[i + 1]::DOUBLE + embedding[i + 33]::DOUBLE > 0 THEN 1::BIGINT << i ELSE 0 END))::BIGINT AS code
+  SELECT vec_id, list_sum(list_transform(range(0, 32), lambda i: CASE WHEN embedding[i + 1] > 0 THEN 1::BIGINT << i ELSE 0 END))::BIGINT AS low,
+    list_sum(list_transform(range(0, 32), lambda i: CASE WHEN embedding[i + 33] > 0 THEN 1::BIGINT << i ELSE 0 END))::BIGINT AS high
   FROM embeddings),
 pairs AS (
-  SELECT q.vec_id AS query_id, r.vec_id AS neighbour_id, bit_count(xor(q.code, r.code))::INT AS distance
+  SELECT q.vec_id AS query_id, r.vec_id AS neighbour_id, (bit_count(xor(q.low, r.low)) + bit_count(xor(q.high, r.high)))::INT AS distance
   FROM codes q JOIN codes r ON q.vec_id % 100 = 0 AND q.vec_id <> r.vec_id),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbour_id)::INT AS rank FROM pairs)
 SELECT * FROM ranked WHERE rank <= 10

@@ -16,14 +16,14 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from labelyard.sizing import materialise
 
-BITS = 32
+BITS = 64
 
 
 def sign_code(vector: str, bits: int = BITS) -> Column:
-    """``bits`` (at most 63) sign bits of a vector folded onto that many dimensions, as a number.
+    """``bits`` (at most 64) sign bits of a vector as a number, whose own sign is the 64th bit.
 
-    Bit i is set if the sum of the dimensions i, i + bits, i + 2 * bits, ... is positive. A null
-    vector has no code; missing or null dimensions count as 0.
+    Bit i is set if the sum of the dimensions i, i + bits, i + 2 * bits, ... is positive, so a vector with
+    ``bits`` dimensions has one bit for each. A null vector has no code; missing or null dimensions count as 0.
     """
     folded = F.transform(
         F.sequence(F.lit(0), F.lit(bits - 1)),
@@ -34,7 +34,7 @@ def sign_code(vector: str, bits: int = BITS) -> Column:
             ) > 0, F.call_function("shiftleft", F.lit(1).cast("long"), i),
         ).otherwise(F.lit(0).cast("long")),
     )
-    return F.when(F.col(vector).isNotNull(), F.aggregate(folded, F.lit(0).cast("long"), lambda a, b: a + b))
+    return F.when(F.col(vector).isNotNull(), F.aggregate(folded, F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b)))
 
 
 def cut(bits: int, n_codes: int) -> list[tuple[int, int]]:
@@ -45,7 +45,7 @@ def cut(bits: int, n_codes: int) -> list[tuple[int, int]]:
 
 
 def _segments(code: Column, cuts: list[tuple[int, int]]) -> list[Column]:
-    return [F.shiftright(code, shift).bitwiseAND(F.lit((1 << width) - 1)) for shift, width in cuts]
+    return [F.shiftrightunsigned(code, shift).bitwiseAND(F.lit((1 << width) - 1)) for shift, width in cuts]
 
 
 def _flip(number: int, value: Column) -> Callable[[Column], Column]:
