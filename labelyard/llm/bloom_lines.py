@@ -15,6 +15,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
+from labelyard.llm.columns import set_aside
 from labelyard.sizing import materialise
 
 #: White space that is stripped from both ends of a line.
@@ -158,7 +159,8 @@ def drop_repeated_lines(docs: DataFrame, least: int = 40, documents: int = 5) ->
     stays empty. Texts are shuffled once, by id; a document's list of lines to drop is not longer
     than the document.
     """
-    columns = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    docs, back = set_aside(docs.drop("n_lines", "n_dropped"))
+    columns = docs.columns
     drops = repeated_lines(docs, least, documents).groupBy(F.col("doc_id").alias("_drop_id")).agg(F.collect_set("digest").alias("_drops"))
     whole = docs.select(*columns)
     joined = whole.join(drops.hint("shuffle_hash"), F.col("doc_id").cast("long").eqNullSafe(F.col("_drop_id")), "left").drop("_drop_id")
@@ -185,4 +187,4 @@ def drop_repeated_lines(docs: DataFrame, least: int = 40, documents: int = 5) ->
             yield pa.RecordBatch.from_arrays([*arrays, pa.array(lines, pa.int64()), pa.array(gone, pa.int64())], [*columns, "n_lines", "n_dropped"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in whole.schema.fields)
-    return joined.mapInArrow(cut, schema + ", n_lines long, n_dropped long")
+    return joined.mapInArrow(cut, schema + ", n_lines long, n_dropped long").withColumnsRenamed(back)

@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from labelyard.llm.columns import set_aside
 from labelyard.llm.shingles import byte_hashes, mixed, raw
 from labelyard.llm.workers import batches_of_texts
 from labelyard.sizing import materialise
@@ -157,7 +158,8 @@ def drop_repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS) -> D
     first document is the one with the smallest id. A null or empty text has no chunks and stays as it is.
     Of rows with one id, each keeps its first occurrence. An empty table stays empty.
     """
-    columns = [c for c in docs.columns if c not in ("n_chunks", "spans", "n_removed")]
+    docs, back = set_aside(docs.drop("n_chunks", "spans", "n_removed"))
+    columns = docs.columns
     known = repeated_chunks(docs).groupBy(F.col("doc_id").alias("_chunk_id")).agg(F.collect_list("digest").alias("_known"))
     whole = docs.select(*columns)
     joined = whole.join(known.hint("shuffle_hash"), F.col("doc_id").cast("long").eqNullSafe(F.col("_chunk_id")), "left").drop("_chunk_id")
@@ -191,4 +193,4 @@ def drop_repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS) -> D
                 )
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in whole.schema.fields)
-    return joined.mapInArrow(cut, schema + ", n_chunks long, spans string, n_removed long")
+    return joined.mapInArrow(cut, schema + ", n_chunks long, spans string, n_removed long").withColumnsRenamed(back)

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from labelyard.llm.columns import set_aside
 from labelyard.sizing import broadcast_if_small
 
 #: A mean above this is drawn as a sum of several smaller Poisson draws, as exp(-mean) vanishes.
@@ -61,6 +62,7 @@ def replicate(docs: DataFrame, rates: DataFrame, by: str = "source", seed: int =
     a source without a rate is left out, an empty table stays empty, and all columns are kept
     (``copy`` and ``shuffle_key`` are overwritten if they exist).
     """
+    docs, back = set_aside(docs.drop("copy", "shuffle_key"), ("doc_id", "text", "lang", "source", by))
     draws = F.greatest(F.ceil(F.col("mean") / LARGEST_MEAN), F.lit(1)).cast("int")
     tables = rates.select(
         F.col("mix_key").alias("_mix_key"), draws.alias("_draws"),
@@ -74,14 +76,14 @@ def replicate(docs: DataFrame, rates: DataFrame, by: str = "source", seed: int =
 
     count = F.aggregate(F.sequence(F.lit(1), F.col("_draws")), F.lit(0), lambda have, n: have + draw(n))
     drawn = (
-        docs.drop("copy", "shuffle_key")
-        .withColumns({"_mix_key": _key(by), "_ident": ident})
+        docs.withColumns({"_mix_key": _key(by), "_ident": ident})
         .join(broadcast_if_small(tables), "_mix_key")
         .withColumn("_count", count)
         .filter("_count > 0")
         .withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("_count") - 1)))
         .withColumn("shuffle_key", hashed(F.lit(str(seed)), F.lit("order"), F.col("_ident"), F.col("copy").cast("string")))
         .drop("_mix_key", "_ident", "_draws", "_sums", "_count")
+        .withColumnsRenamed(back)
     )
     n = docs.sparkSession.conf.get("spark.sql.shuffle.partitions")
     return drawn.repartition(int(n), "shuffle_key").sortWithinPartitions("shuffle_key")

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from labelyard.llm.columns import set_aside
 from labelyard.sizing import materialise
 
 # --- fixed values: words and symbols of the base rules -----------------------------------------
@@ -222,15 +223,18 @@ def judged(docs: DataFrame, columns: list[str] | None = None) -> DataFrame:
 
     ``columns`` of ``docs`` are kept beside them; by default doc_id. The statistics are stored once
     and read by the estimator and for the verdict. Null languages and sources form groups of
-    their own; an empty table gives no rows; equal rows are judged alike, each by itself.
+    their own; an empty table gives no rows; equal rows are judged alike, each by itself. Kept columns
+    named like a result are left out for it.
     """
-    columns = ["doc_id"] if columns is None else columns
+    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
+    columns = [c for c in (columns or ["doc_id"]) if c not in (*names, "distance2", "kept")]
+    docs, back = set_aside(docs)
+    columns = [{v: k for k, v in back.items()}.get(c, c) for c in columns]
     measured = transformed(base_statistics(docs.select(*dict.fromkeys([*columns, "text", "lang", "source"]))))
     keyed = _group_key(measured)
-    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     held = materialise(keyed.select(*columns, *names, "_lang", "_pair", *[f"q{i + 1}" for i in range(P)]), "quality-rows")
     measured = _distance(held.join(estimates(held), "_pair", "left"))
     return measured.select(
         *columns, *names, F.round("d2", 6).alias("distance2"),
         (~F.col("base_failed") & F.coalesce(F.col("d2") <= F.col("cutoff"), F.lit(True))).alias("kept"),
-    )
+    ).withColumnsRenamed(back)

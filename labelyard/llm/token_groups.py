@@ -20,6 +20,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from labelyard.llm.columns import set_aside
 from labelyard.llm.shingles import WORDS_PER_SHINGLE, shingle_sets
 from labelyard.llm.workers import batches_of_texts
 from labelyard.sizing import materialise
@@ -363,6 +364,7 @@ def one_of_each(docs: DataFrame, words: int = WORDS_PER_SHINGLE, threshold: int
 
     Rows without shingles all stay. Of equal rows with one id, one stays. Null ids come last.
     """
+    docs, back = set_aside(docs, ("doc_id", "text"))
     found = materialise(near_duplicates(docs, words, threshold), "near-duplicates")
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")
     first = found.filter("component IS NOT NULL").groupBy("component").agg(F.min(order).alias("row")).select("row.doc_id", "row.text_key")
@@ -376,4 +378,4 @@ def one_of_each(docs: DataFrame, words: int = WORDS_PER_SHINGLE, threshold: int
     if not equal.isEmpty():  # physical only: without equal rows there is nothing to choose
         several = kept.filter("_single").dropDuplicates(["_id", "_key"])
         kept = several.unionByName(kept.filter("NOT _single"))
-    return kept.select(*docs.columns)
+    return kept.select(*docs.columns).withColumnsRenamed(back)
