@@ -1,24 +1,26 @@
 """Secret spans: base patterns, and a linear-chain conditional random field that adds to them.
 
 Tokens are tagged as begin, inside or outside of a secret from their shape, the words beside them and
-features of the file. The field is trained on a bounded sample in which the base patterns are
-the labels, so it learns what stands around secrets and what they look like. Decoding is by Viterbi;
-a text that cannot hold a span by the scores of its tokens is passed over.
+features of the file. The field is trained on windows around base matches of a bounded sample, and on
+rewritten ones: other separators, key words or none, values in upper case, cut short, of other alphabets or
+with marks in them. So it finds secrets that the patterns miss and the rest of values that they cut short.
+Decoding is by Viterbi; a text that cannot hold a span by the scores of its tokens is passed over.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import zlib
 from pyspark.sql import DataFrame, functions as F
 
-from labelyard.llm.workers import batches_of_texts, per_worker
+from labelyard.llm.shingles import byte_hashes, raw
+from labelyard.llm.workers import batches_of_texts
+from labelyard.sizing import materialise
 
 # --- fixed values: base patterns and the least length of what they must hold --------------------
 BASE = [
@@ -34,11 +36,22 @@ _LONG_HEX = re.compile(r"[0-9a-f]{24}")
 #: Parts of the key words of "assign", and the letters beyond A-Z that match one of theirs in either case.
 _KEY_PARTS, _OTHER_CASE = ("passw", "secret", "token", "api"), ("\u017f", "\u0130", "\u0131")
 
-FEATURES = 1 << 14
 O, B, I = range(3)
-#: Training: the most documents with and without a base match, tokens to each side, steps and rate.
-SAMPLE_DOCS, AROUND, STEPS, RATE, DECAY = 600, 12, 60, 0.5, 1e-3
-CACHED_TOKENS = 250_000
+#: Training: the most documents with and without a base match, windows of one document, tokens to each
+#: side, characters of a token, words known by themselves, rewritten windows, steps of the fit and of a first one, rate and decay.
+SAMPLE_DOCS, WINDOWS, AROUND, TOKEN_CHARS, KNOWN_WORDS, MADE = 400, 4, 12, 256, 20_000, 1_500
+STEPS, FIRST_STEPS, RATE, DECAY = 100, 15, 0.5, 2e-3
+SPACE = re.compile(r"[^\x20\x09-\x0D]+")
+#: Marks that may stand around a value, and what rewriting uses: words before a value, separators, marks inside.
+MARKS = "\"'`([{<>}]),;.!?#*$%&|"
+KEY_WORDS = ["password", "passwd", "secret", "token", "api_key", "pwd", "passphrase", "credential", "bearer", "authorization"]
+SEPARATORS = ["=", ":", "->", "=>", "is", ":=", ""]
+INNER_MARKS = "!#$%^&*~"
+#: Tokens that look like values to a careless eye and are none.
+HARMLESS = [
+    "2024-01-31", "4785380592391139", "192.168.0.1", "some.12@mail2.example.com", "https://www.example.com/en/825?page=2", "+49-151-1234567",
+    "v1.2.3-rc1", "978-3-16-148410-0", "3.14159", "(555)-0100", "12:45:30", "1,000,000", "README.md", "snake_case_name", "someCamelCase",
+]
 
 
 def _may_assign(text: str) -> bool:
@@ -65,69 +78,101 @@ def written(spans: list[tuple[int, str, int]]) -> str:
 
 # --- features --------------------------------------------------------------------------------------
 
-_CLASSES = {**{c: "a" for c in map(chr, range(97, 123))}, **{c: "A" for c in map(chr, range(65, 91))}, **{c: "0" for c in "0123456789"}}
-_SHAPES = str.maketrans(_CLASSES)
-_RUN = re.compile(r"(.)\1+")
-_HEX = re.compile(r"[0-9a-f]+")
-_BEFORE, _BEHIND = "\"'([{<", "\"')]}>,;.!?"
-
-
-def _hashed(name: str) -> int:
-    return zlib.crc32(name.encode("utf-8", "replace")) % FEATURES
-
+#: Families of a token's own features and their sizes: length with digits, length with case and marks, length
+#: with changes of kind, alphabet, marks that assign or address with the first kind. Then the file's size and marks of code.
+FAMILIES = (8 * 9, 8 * 25, 8 * 9, 8, 8 * 5)
+FILE_FAMILIES = (17, 5)
+OWN = sum(FAMILIES)
+_OFFSETS = np.cumsum((0, *FAMILIES))[:-1]
+
+
+def _tables() -> tuple[np.ndarray, np.ndarray]:
+    """Kind of each byte (lower, upper, digit, mark, other script), and whether it may stand around a value."""
+    kind = np.full(256, 3, np.int8)
+    kind[97:123], kind[65:91], kind[48:58], kind[128:] = 0, 1, 2, 4
+    around = np.zeros(256, bool)
+    around[list(MARKS.encode())] = True
+    return kind, around
+
+
+def looks(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Own features (places in the weights, a column per family) and a word hash of each token in ``data``."""
+    kinds, around = _tables()
+    starts, stops = starts.copy(), stops.copy()
+    padded = np.append(data, np.uint8(0))
+    for _ in range(8):
+        starts += (starts < stops) & around[padded[starts]]
+    for _ in range(8):
+        stops -= (starts < stops) & around[padded[stops - 1]]
+    kind = kinds[data]
+    size = stops - starts
+    n = np.maximum(size, 1)
+
+    def within(marked: np.ndarray) -> np.ndarray:
+        total = np.concatenate([[0], np.cumsum(marked, dtype=np.int64)])
+        return total[stops] - total[starts]
+
+    lower, upper, digit, mark = (within(kind == k) for k in range(4))
+    changed = np.zeros(len(data) + 1, bool)
+    changed[1:-1] = kind[1:] != kind[:-1]
+    total = np.concatenate([[0], np.cumsum(changed, dtype=np.int64)])
+    changes = np.maximum(total[np.maximum(stops, 1)] - total[np.minimum(starts + 1, len(data))], 0)
+    hexa = within((kind == 2) | (data >= 97) & (data <= 102) | (data >= 65) & (data <= 70))
+    length = np.minimum(np.floor(np.log2(n)).astype(np.int64) + (size > 0), 7)
+    mixed_case = (lower > 0).astype(int) + (upper > 0) + (digit > 0)
+    alphabet = np.select(
+        [size < 6, (hexa == size) & (digit > 0) & (digit < size) & (size >= 16), (hexa == size) & (digit > 0) & (digit < size), digit == size,
+         (mixed_case == 3) & (size >= 10), (digit > 0) & (mixed_case == 2) & (size >= 10), (mark > 0) & (digit > 0)],
+        [0, 1, 2, 3, 4, 5, 6], 7,
+    )
+    equals, colon, address = (within(data == ord(c)) > 0 for c in "=:@")
+    first = np.where(size > 0, kinds[padded[starts]], 3)
+    own = np.stack([
+        length * 9 + 8 * digit // n, length * 25 + 5 * (4 * upper // n) + 4 * mark // n, length * 9 + np.minimum(8 * changes // n, 8),
+        alphabet, (4 * address + 2 * equals + colon) * 5 + first,
+    ], axis=1)
+    return own + _OFFSETS, byte_hashes(data, starts, stops)
 
-def _core(token: str) -> str:
-    """A token without the marks around it."""
-    return token.lstrip(_BEFORE).rstrip(_BEHIND)
 
-
-def _look(core: str) -> tuple:
-    """What a token looks like: shape, length, digits, variety, whether it is hexadecimal and assigns."""
-    n, shown = len(core), core[:64]
-    most = max(1, len(shown))
-    if core.isascii() and core.isalpha() and core.islower():  # most words
-        shape, digits, marks = "a+" if n > 1 else "a", 0, (False, False)
-    else:
-        shape = _RUN.sub(r"\1+", shown.translate(_SHAPES))[:12]
-        digits, marks = sum(map(str.isdigit, shown)), ("=" in core, ":" in core)
-    return shape, len(shown).bit_length(), 8 * digits // most, 8 * len(set(shown)) // most, _HEX.fullmatch(core) is not None, n >= 24, marks
-
-
-def _look_features(look: tuple) -> list[int]:
-    shape, length, digits, varied, is_hex, long_, (equals, colon) = look
-    names = [
-        "shape " + shape, f"length {length}", f"digits {digits}", f"varied {varied} {length}", f"hex {is_hex} {long_}", f"assigns {equals} {colon}",
-    ]
-    return [_hashed(x) for x in names]
+def file_features(text: str) -> list[int]:
+    """Size of the text and how many marks of code it has, as places among the file's features."""
+    coded = sum(mark in text for mark in ("=", "{", "://", "();"))
+    return [min(len(text).bit_length(), FILE_FAMILIES[0] - 1), FILE_FAMILIES[0] + coded]
 
 
-def token_features(token: str) -> tuple[list[int], int, int]:
-    """Features of a token itself, and the one it gives to the token after and before it."""
-    core = _core(token)
-    word = core.lower()[:24]
-    return _look_features(_look(core)), _hashed("before " + word), _hashed("after " + word)
+N_FILE = len(FILE_FAMILIES)
 
 
-N_OWN, N_FILE = 6, 2
+# --- the field -------------------------------------------------------------------------------------
 
+ILLEGAL = -1e4
 
-def file_features(text: str) -> list[int]:
-    """Size, share of digits and whether the text has marks of code, hashed."""
-    head = f"size {len(text).bit_length() // 2}"
-    coded = sum(mark in text for mark in ("=", "{", "://", "();"))
-    return [_hashed(head), _hashed(f"coded {coded}")]
 
+class Field:
+    """weights[feature, tag], moves[tag, tag], start[tag], and the sorted hashes of the words it knows.
 
-# --- the field -------------------------------------------------------------------------------------
+    Rows of the weights: a token's own features, the known words before it, those behind it (the
+    first row of each is for all others), then features of the file.
+    """
 
-ILLEGAL = -1e4
+    def __init__(self, weights: np.ndarray, moves: np.ndarray, start: np.ndarray, words: np.ndarray):
+        self.weights, self.moves, self.start, self.words = weights, moves, start, words
 
+    def places(self, hashes: np.ndarray) -> np.ndarray:
+        """0 for unknown words, else 1 and more."""
+        if not len(self.words):
+            return np.zeros(len(hashes), np.int64)
+        at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
+        return np.where(self.words[at] == hashes, at + 1, 0)
 
-class Field:
-    """weights[feature, tag], moves[tag, tag] and start[tag]."""
+    def parts(self, own: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Scores of tokens: their own, what each adds to the next one, and to the one before."""
+        word = self.places(hashes)
+        behind = OWN + len(self.words) + 1
+        return self.weights[own].sum(axis=1), self.weights[OWN + word], self.weights[behind + word]
 
-    def __init__(self, weights: np.ndarray, moves: np.ndarray, start: np.ndarray):
-        self.weights, self.moves, self.start = weights, moves, start
+    def file(self, places: list[int]) -> np.ndarray:
+        return self.weights[len(self.weights) - sum(FILE_FAMILIES):][places].sum(axis=0)
 
     def legal(self) -> tuple[np.ndarray, np.ndarray]:
         moves, start = self.moves.copy(), self.start.copy()
@@ -182,168 +227,276 @@ def _forward_backward(field: Field, scores: np.ndarray, valid: np.ndarray) -> tu
     return tags, moved, tags[:, 0].sum(axis=0)
 
 
-def train(texts: list[str]) -> Field:
-    """Fit by gradient ascent on windows around base matches and as many others."""
-    rows, golds, rng = [], [], np.random.default_rng(11)
-    for text in texts:
-        spans = [(a, b) for a, kind, b in base_spans(text)]
-        found = [(m.start(), m.end()) for m in re.finditer(r"[^\x20\x09-\x0D]+", text)]
-        if not found:
-            continue
-        tags, open_ = [], None
-        for a, b in found:
-            inside = next((s for s in spans if a < s[1] and b > s[0] and _core(text[a:b])[-1:] != ":"), None)
-            value = inside is not None and (len(_core(text[a:b])) >= 6)
-            tags.append((I if open_ == inside else B) if value else O)
-            open_ = inside if value else None
-        file_ = file_features(text)
-        hits = [t for t, tag in enumerate(tags) if tag == B][:4]
-        centres = hits or [int(rng.integers(len(found)))]
-        for c in centres:
-            window = range(max(0, c - AROUND), min(len(found), c + AROUND))
-            beside = range(max(0, window.start - 1), min(len(found), window.stop + 1))
-            tokens = {t: token_features(text[slice(*found[t])]) for t in beside}
-            rows.append([
-                [*tokens[t][0], tokens[t - 1][1] if t else 0, tokens[t + 1][2] if t + 1 < len(found) else 0, *file_] for t in window
-            ])
-            golds.append([tags[t] for t in window])
-    field = Field(np.zeros((FEATURES, 3)), np.zeros((3, 3)), np.zeros(3))
-    if not rows:
-        field.weights[:, O] = 1.0
-        return field
-    length, width = 2 * AROUND, N_OWN + 2 + N_FILE
-    x, gold, valid = np.zeros((len(rows), length, width), np.int64), np.zeros((len(rows), length), np.int64), np.zeros((len(rows), length), bool)
-    for i, (row, tags) in enumerate(zip(rows, golds)):
-        x[i, :len(row)], gold[i, :len(row)], valid[i, :len(row)] = row, tags, True
+Window = tuple[list[str], list[int], list[int]]  # tokens, their tags, file features
+
+
+def windows(text: str, pick: int) -> list[Window]:
+    """Windows around base matches, or one around a token that ``pick`` chooses."""
+    spans = [(a, b) for a, kind, b in base_spans(text)]
+    found = [m.span() for m in SPACE.finditer(text)]
+    tags, before = [], None
+    for a, b in found:
+        inside = next((s for s in spans if a < s[1] and b > s[0]), None)
+        core = text[a:b].strip(MARKS)
+        value = inside is not None and len(core) >= 6 and core[-1:] not in ":=" and b >= inside[1]
+        tags.append((I if before == inside else B) if value else O)
+        before = inside if value else None
+    centres = [t for t, tag in enumerate(tags) if tag == B][:WINDOWS] or ([pick % len(found)] if found else [])
+    out = []
+    for c in centres:
+        part = range(max(0, c - AROUND), min(len(found), c + AROUND))
+        out.append(([text[a:b][:TOKEN_CHARS] for a, b in found[part.start:part.stop]], tags[part.start:part.stop], file_features(text)))
+    return out
+
+
+def _value(rng: np.random.Generator) -> str:
+    """A made-up value of one of several alphabets."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    alphabet = ["0123456789abcdef", "0123456789ABCDEF", letters + letters.upper() + "0123456789", letters + "0123456789", letters + letters.upper() + "0123456789+/_-"][int(rng.integers(5))]
+    made = "".join(rng.choice(list(alphabet), int(rng.integers(10, 45))))
+    while not any(c.isdigit() for c in made) or made.isdigit():
+        made = "".join(rng.choice(list(alphabet), len(made)))
+    return made
+
+
+def rewritten(window: Window, rng: np.random.Generator) -> Window:
+    """A window with its values, key words and separators replaced; what was a value still is one."""
+    tokens, tags, file_ = window
+    out, marks = [], []
+    for t, (token, tag) in enumerate(zip(tokens, tags)):
+        ahead = tags[t + 1:t + 3]
+        if tag == O and B in ahead:  # the key word and the separator go; new ones come with the value
+            if ahead[0] == B or token.strip(MARKS) not in ("", "=", ":"):
+                continue
+        if tag == B:
+            value = _value(rng)
+            kind = int(rng.integers(4))
+            if kind == 0:  # cut short by a mark, where a pattern ends
+                at = int(rng.integers(3, len(value) - 2))
+                value = value[:at] + str(rng.choice(list(INNER_MARKS))) + value[at:]
+            quote = str(rng.choice(["", '"', "'"]))
+            key, separator = str(rng.choice(KEY_WORDS)), str(rng.choice(SEPARATORS))
+            shown = int(rng.integers(4))
+            if shown == 0:  # without any context a value must look like one by itself
+                out += [quote + value + quote]
+                marks += [B if len(value) >= 16 else O]
+            elif shown == 1 and separator in ("=", ":"):
+                out += [key + separator + quote + value + quote]
+                marks += [B]
+            else:
+                lead = [x for x in (key, separator) if x]
+                out += [*lead, quote + value + quote]
+                marks += [*[O] * len(lead), B]
+        elif tag == O:
+            out.append(token)
+            marks.append(O)
+    return out, marks, file_
+
+
+def harmless(window: Window, rng: np.random.Generator) -> Window:
+    """A window without values, at times shouted, with long words, key words before ordinary words and
+    tokens that only look like values."""
+    tokens, _, file_ = window
+    style = int(rng.integers(4))
+    out = [t.upper() + "!!" if style == 0 else t.title() if style == 1 else t for t in tokens]
+    out = ["".join(out[i:i + 2]).replace("!!", "") if out and style < 3 and rng.random() < 0.2 else t for i, t in enumerate(out)]
+    letters = list("abcdefghijklmnopqrstuvwxyz")
+    name, host = ("".join(rng.choice(letters, int(rng.integers(2, 9)))) for _ in range(2))
+    address = f"{name}.{int(rng.integers(1000))}@{host}{int(rng.integers(10))}.example.{str(rng.choice(['com', 'org', 'de']))}"
+    for token in (str(rng.choice(HARMLESS)), str(rng.choice(HARMLESS)), address):
+        out.insert(int(rng.integers(len(out) + 1)), token)
+    word = str(rng.choice(tokens)) if tokens else "value"
+    at = int(rng.integers(len(out) + 1))
+    out[at:at] = [str(rng.choice(KEY_WORDS)), *[x for x in [str(rng.choice(SEPARATORS))] if x], word]
+    return out, [O] * len(out), file_
+
+
+def train(sample: list[Window]) -> Field:
+    """Fit on windows, at least ``MADE`` rewritten ones with values and as many harmless ones.
+
+    Texts without a base match may hold secrets too. A first, short fit looks for them, and windows in which it
+    sees one are not taken for windows without values.
+    """
+    with_values = [w for w in sample if B in w[1]]
+    without = [w for w in sample if B not in w[1] and w[0]]
+    if not with_values:
+        weights = np.zeros((OWN + 2 + sum(FILE_FAMILIES), 3))
+        weights[:, O] = 1.0
+        return Field(weights, np.zeros((3, 3)), np.zeros(3), np.zeros(0, np.uint64))
+    rng = np.random.default_rng(11)
+    made = [rewritten(w, rng) for w in with_values for _ in range(max(3, MADE // len(with_values)))]
+    first = _fitted([*with_values, *made, *(([t for t in HARMLESS], [O] * len(HARMLESS), w[2]) for w in with_values), *without], FIRST_STEPS)
+    seen = tagged(first, pa.array([" ".join(w[0]) for w in without], pa.string())) if without else {}
+    without = [w for at, w in enumerate(without) if at not in seen]
+    calm = [harmless(w, rng) for w in without for _ in range(max(2, MADE // max(1, len(without))))]
+    return _fitted([*with_values, *without, *made, *calm], STEPS)
+
+
+def _fitted(every: list[Window], steps: int) -> Field:
+    """Gradient ascent on the likelihood of the tags of windows, with a rate for each weight."""
+    every = [w for w in every if w[0]]
+    tokens = pa.array([t for w in every for t in w[0]], pa.large_string())
+    own, hashes = looks(*_bytes(tokens))
+    # a word is known if it stands in several windows of different documents, key words always
+    times = Counter(x for w, h in zip(every, np.split(hashes, np.cumsum([len(w[0]) for w in every])[:-1])) for x in set(h.tolist()))
+    words = np.array(sorted(h for h, n in times.most_common(KNOWN_WORDS) if n >= 5), np.uint64)
+    field = Field(np.zeros((OWN + 2 * (len(words) + 1) + sum(FILE_FAMILIES), 3)), np.zeros((3, 3)), np.zeros(3), words)
+    word = field.places(hashes)
+    length = max(len(w[0]) for w in every)
+    width = len(FAMILIES) + 2 + N_FILE
+    x, gold, valid = np.zeros((len(every), length, width), np.int64), np.zeros((len(every), length), np.int64), np.zeros((len(every), length), bool)
+    behind, file_at, at = OWN + len(words) + 1, len(field.weights) - sum(FILE_FAMILIES), 0
+    for row, (said, tags, file_) in enumerate(every):
+        n = len(said)
+        x[row, :n, :len(FAMILIES)] = own[at:at + n]
+        x[row, 0, len(FAMILIES)], x[row, 1:n, len(FAMILIES)] = OWN, OWN + word[at:at + n - 1]
+        x[row, n - 1, len(FAMILIES) + 1], x[row, :n - 1, len(FAMILIES) + 1] = behind, behind + word[at + 1:at + n]
+        x[row, :n, len(FAMILIES) + 2:] = [file_at + f for f in file_]
+        gold[row, :n], valid[row, :n] = tags, True
+        at += n
     truth = np.eye(3)[gold] * valid[:, :, None]
     pairs = valid[:, 1:].ravel()
     moved_gold = np.zeros((3, 3))
     np.add.at(moved_gold, (gold[:, :-1].ravel()[pairs], gold[:, 1:].ravel()[pairs]), 1)
-    squares = [np.full((FEATURES, 3), 1e-3), np.full((3, 3), 1e-3), np.full(3, 1e-3)]
-    for _ in range(STEPS):
+    squares = [np.full(field.weights.shape, 1e-3), np.full((3, 3), 1e-3), np.full(3, 1e-3)]
+    places = x.ravel()
+    for _ in range(steps):
         scores = field.weights[x].sum(axis=2)
         tags, moved, first = _forward_backward(field, scores, valid)
-        gap = (truth - tags) / len(rows)
-        grad = np.stack([np.bincount(x.ravel(), np.repeat(gap[:, :, k].ravel(), width), FEATURES) for k in range(3)], axis=1)
-        steps = (grad - DECAY * field.weights, (moved_gold - moved) / len(rows), (truth[:, 0].sum(axis=0) - first) / len(rows))
-        for target, step, square in zip((field.weights, field.moves, field.start), steps, squares):
+        gap = (truth - tags) / len(every)
+        grad = np.stack([np.bincount(places, np.repeat(gap[:, :, k].ravel(), width), len(field.weights)) for k in range(3)], axis=1)
+        moved_by = (grad - DECAY * field.weights / len(every) ** 0.5, (moved_gold - moved) / len(every), (truth[:, 0].sum(axis=0) - first) / len(every))
+        for target, step, square in zip((field.weights, field.moves, field.start), moved_by, squares):
             square += step * step
             target += RATE * step / np.sqrt(square)
     return field
 
 
-class Scores(dict):
-    """A token's part in the scores: its own, and what it adds to the next and the one before."""
+def _bytes(tokens: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of tokens, and where each starts and stops."""
+    data, bounds = raw(tokens)
+    return data, bounds[:-1].astype(np.int64), bounds[1:].astype(np.int64)
 
-    def __init__(self, weights: np.ndarray):
-        super().__init__()
-        self._weights = weights
-        self._rows = [row.tobytes() for row in weights.astype("<f4")]
-        self._looks: dict[tuple, bytes] = {}
 
-    def __missing__(self, token: str) -> bytes:
-        if len(self) >= CACHED_TOKENS:
-            self.clear()
-            self._looks.clear()
-        core = _core(token)
-        look = _look(core)
-        own = self._looks.get(look)
-        if own is None:
-            own = self._looks[look] = self._weights[_look_features(look)].sum(axis=0).astype("<f4").tobytes()
-        word = core.lower()[:24]
-        self[token] = found = own + self._rows[_hashed("before " + word)] + self._rows[_hashed("after " + word)]
-        return found
-
-
-def tagged(field: Field, known: Scores, texts: pa.Array) -> dict[int, list[tuple[int, int]]]:
-    """Added spans, in code points, of the texts that have any; keys are places in ``texts``."""
+def tagged(field: Field, texts: pa.Array) -> dict[int, list[tuple[int, int]]]:
+    """Decoded spans, in code points, of the texts that have any; keys are places in ``texts``."""
     trimmed = pc.ascii_trim_whitespace(texts.cast(pa.large_string()).fill_null(""))
     lists = pc.ascii_split_whitespace(trimmed)
     coded = lists.flatten().dictionary_encode()
     if not len(coded):
         return {}
-    parts = np.frombuffer(b"".join(map(known.__getitem__, coded.dictionary.to_pylist())), "<f4").reshape(-1, 9)
+    alone, to_next, to_last = field.parts(*looks(*_bytes(coded.dictionary)))
     row = coded.indices.to_numpy(zero_copy_only=False)
     bounds = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+    scores, from_left, from_right = alone[row], to_next[row[:-1]], to_last[row[1:]]
     inner = bounds[(bounds > 0) & (bounds < len(row))]
-    scores, from_left, from_right = parts[row, :3].copy(), parts[row[:-1], 3:6], parts[row[1:], 6:9]
-    from_left[inner - 1] = from_right[inner - 1] = 0  # nothing crosses from one text to the next
+    from_left[inner - 1] = field.weights[OWN]  # nothing crosses from one text to the next
+    from_right[inner - 1] = field.weights[OWN + len(field.words) + 1]
     scores[1:] += from_left
     scores[:-1] += from_right
+    scores[0] += field.weights[OWN]
+    scores[-1] += field.weights[OWN + len(field.words) + 1]
     each, once = field.slack()
     gain = np.maximum(scores[:, B], scores[:, I]) - scores[:, O] + each
-    file_ = np.maximum(field.weights[:, B], field.weights[:, I]) - field.weights[:, O]
-    sizes = np.diff(bounds)
-    some = np.flatnonzero(sizes)
+    some = np.flatnonzero(np.diff(bounds))
     top = np.maximum.reduceat(gain, bounds[:-1][some])
-    # A text is decoded if any token could gain; N_FILE features add at most so much to each.
-    at_most = top + N_FILE * max(0.0, float(file_.max()))
+    # A text is decoded if any token could gain; the file adds at most so much to each.
+    file_ = field.weights[len(field.weights) - sum(FILE_FAMILIES):]
+    file_ = np.maximum(file_[:, B], file_[:, I]) - file_[:, O]
+    at_most = top + sum(max(0.0, float(part.max())) for part in np.split(file_, [FILE_FAMILIES[0]])) + max(0.0, once)
     found: dict[int, list[tuple[int, int]]] = {}
-    for at in some[(at_most > 0) | (at_most + once > 0)].tolist():
-        text = texts[at].as_py() or ""
-        own = file_[file_features(text)].sum() + float(gain[bounds[at]:bounds[at + 1]].max())
-        spans = _decode(field, known, text) if own > 0 or own + once > 0 else []
-        if spans:
-            found[at] = spans
+    for at, best in zip(some[at_most > 0].tolist(), top[at_most > 0].tolist()):
+        text = texts[at].as_py()
+        places = file_features(text)
+        if best + float(file_[places].sum()) + max(0.0, once) <= 0:
+            continue
+        tags = field.viterbi(scores[bounds[at]:bounds[at + 1]] + field.file(places))
+        if (tags == B).any():
+            found[at] = _spans(text, tags)
     return found
 
 
-def _decode(field: Field, known: Scores, text: str) -> list[tuple[int, int]]:
-    """Viterbi over the tokens of a text."""
-    places = [m.span() for m in re.finditer(r"[^\x20\x09-\x0D]+", text)]
-    if not places:
-        return []
-    parts = np.frombuffer(b"".join([known[text[a:b]] for a, b in places]), "<f4").reshape(-1, 9).astype(np.float64)
-    scores = parts[:, :3] + field.weights[file_features(text)].sum(axis=0)
-    scores[1:] += parts[:-1, 3:6]
-    scores[:-1] += parts[1:, 6:9]
-    tags = field.viterbi(scores)
+def _spans(text: str, tags: np.ndarray) -> list[tuple[int, int]]:
+    """From the first to the last token of each run, without the marks around it."""
+    places = [m.span() for m in SPACE.finditer(text)]
     spans = []
     for t in np.flatnonzero(tags == B).tolist():
         end = t
         while end + 1 < len(tags) and tags[end + 1] == I:
             end += 1
         spans.append((places[t][0], places[end][1]))
-    return spans
+    return [s for s in (_bare(text, a, b) for a, b in spans) if s]
+
 
+def _bare(text: str, a: int, b: int) -> tuple[int, int] | None:
+    """A stretch without marks around it; none without a letter or digit."""
+    while a < b and text[a] in MARKS:
+        a += 1
+    while b > a and text[b - 1] in MARKS:
+        b -= 1
+    return (a, b) if any(c.isalnum() for c in text[a:b]) else None
 
-def fit_on(docs: DataFrame, most: int = SAMPLE_DOCS) -> Field:
-    """Train on at most ``most`` documents with a base match and as many without, first by a hash."""
+
+def beyond(text: str, span: tuple[int, int], base: list[tuple[int, str, int]]) -> list[tuple[int, int]]:
+    """What is left of a decoded span outside all base spans."""
+    parts, at = [], span[0]
+    for start, _, end in base:
+        if start < span[1] and end > at:
+            parts.append((at, max(at, start)))
+            at = end
+    parts.append((at, max(at, span[1])))
+    return [p for p in (_bare(text, a, b) for a, b in parts) if p]
+
+
+def sampled(docs: DataFrame, most: int = SAMPLE_DOCS) -> list[Window]:
+    """Windows of at most ``most`` documents with a base match and as many without, first by a hash.
+
+    One pass over the texts decides which ones match; the driver then takes hashes, and after a second one only windows.
+    """
     text = F.coalesce(F.col("text"), F.lit(""))
     likely = text.rlike(r"AKIA[A-Z0-9]{16}|[0-9a-f]{24}") | text.rlike(r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{6}""")
-    order = F.xxhash64(F.lit("secrets"), "doc_id", "text")
-    marked = docs.select(text.alias("text"), likely.alias("likely"), order.alias("order"))
-    sample = []
-    for wanted in (True, False):
-        part = marked.filter(F.col("likely") == wanted).orderBy("order").limit(most)
-        sample += [r["text"] for r in part.select("text").collect()]
-    return train(sample)
+    order = F.xxhash64(F.lit("secrets"), F.col("doc_id").cast("string"), text)
+    marked = materialise(docs.select(order.alias("order"), likely.alias("likely")), "secret-sample")
+    first = [marked.filter(F.col("likely") == wanted).select("order").distinct().orderBy("order").limit(most) for wanted in (True, False)]
+    chosen = F.broadcast(first[0].union(first[1]))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(o, *w) for o, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for w in windows(text, o & 0x7FFFFFFF)]
+            columns = list(zip(*rows)) or [[]] * 4
+            kinds = (pa.int64(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], ["order", "tokens", "tags", "file"])
+
+    taken = docs.select(order.alias("order"), text.alias("text")).join(chosen, "order").mapInArrow(
+        cut, "order long, tokens array<string>, tags array<int>, file array<int>"
+    )
+    rows = taken.dropDuplicates().orderBy("order", "tokens").collect()
+    return [(r["tokens"], r["tags"], r["file"]) for r in rows]
 
 
 def find_secrets(docs: DataFrame, field: Field | None = None) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_spans and spans (base and added) of every row.
 
-    Spans are "kind:start:end" in code points, end exclusive, by start and then kind. An added span that
-    overlaps a base one is left out. A null text is empty and has no spans; equal rows get equal
-    spans; without any base match in the table the field tags nothing.
+    Spans are "kind:start:end" in code points, end exclusive, by start and then kind. Of a decoded span
+    the parts outside base spans are added, without the marks around them. A null text is empty and
+    has no spans; equal rows get equal spans; without any base match in the table the field tags nothing.
     """
-    field = fit_on(docs) if field is None else field
-    shared = docs.sparkSession.sparkContext.broadcast((field.weights, field.moves, field.start))
-    key = hashlib.sha256(field.weights.tobytes()).hexdigest()
+    field = train(sampled(docs)) if field is None else field
+    shared = docs.sparkSession.sparkContext.broadcast((field.weights, field.moves, field.start, field.words))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Field(*shared.value)
-        known = per_worker(("secret-scores", key), lambda: Scores(own.weights))
         for batch in batches:
-            for some in batches_of_texts(batch, 1, 16 << 20):
-                added = tagged(own, known, some.column(1))
+            for some in batches_of_texts(batch, 1):
+                added = tagged(own, some.column(1))
                 counts, base, whole = [], [], []
                 for at, text in enumerate(some.column(1).to_pylist()):
-                    spans = base_spans(text or "")
+                    text = text or ""
+                    spans = base_spans(text)
                     counts.append([sum(s[1] == kind for s in spans) for kind in ("assign", "access", "hex")])
                     base.append(written(spans))
-                    extra = [(a, ADDED, b) for a, b in added.get(at, ()) if not any(a < s[2] and b > s[0] for s in spans)]
-                    whole.append(written(sorted(spans + extra, key=lambda s: (s[0], KINDS[s[1]], s[2]))))
+                    extra = [(a, ADDED, b) for span in added.get(at, ()) for a, b in beyond(text, span, spans)]
+                    whole.append(written(sorted(spans + extra, key=lambda s: (s[0], KINDS[s[1]], s[2]))) if extra else base[-1])
                 n = np.array(counts, np.int64).reshape(-1, 3)
                 yield pa.RecordBatch.from_arrays(
                     [some.column(0), *[pa.array(n[:, i]) for i in range(3)], pa.array(base, pa.string()), pa.array(whole, pa.string())],

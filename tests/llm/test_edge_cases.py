@@ -287,32 +287,43 @@ def test_secrets(docs, nothing):
     assert secret_crf.find_secrets(nothing).count() == 0
 
 
-def test_the_field_finds_what_patterns_miss():
+def test_the_field_finds_what_patterns_miss(spark):
+    """Secrets without a base match, and the rest of one that a pattern cuts short, are added; clean texts have no span."""
     rng = np.random.default_rng(8)
     words = ["the", "report", "of", "our", "group", "was", "fine", "and", "then", "some", "more"]
-
-    def text(secret):
-        left, right = rng.choice(words, 14), rng.choice(words, 14)
-        return " ".join([*left, "token", "=", f'"{secret}"' if secret else "value", *right])
-
-    def value():
-        return "".join(rng.choice(list("0123456789abcdef"), 40))
-
-    field = secret_crf.train([text(value()) for _ in range(80)] + [" ".join(rng.choice(words, 30)) for _ in range(80)])
-    missed = " ".join([*rng.choice(words, 10), "token", "->", value().upper()[:23], "x", *rng.choice(words, 5)])
-    assert not secret_crf.base_spans(missed)
-    import pyarrow as pa
-
-    clean = [" ".join(rng.choice(words, 40)) for _ in range(20)]
-    tags = secret_crf.tagged(field, secret_crf.Scores(field.weights), pa.array([text(value()), *clean]))
-    assert 0 in tags and set(tags) == {0}
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+
+    def text(*said):
+        return " ".join([*rng.choice(words, 14), *said, *rng.choice(words, 14)])
+
+    def value(n=40, alphabet="0123456789abcdef"):
+        return "".join(rng.choice(list(alphabet), n))
+
+    known = [text("token", "=", f'"{value()}"') for _ in range(80)]
+    clean = [text() for _ in range(80)] + [text("the", "token", "was", "gone"), text("Password", "is", "wrong"), text().upper(), text("me.77@mail.example.org"), text("https://a.example.com/en/12?x=3")]
+    secrets = [value(30).upper(), value(28, letters) + "7a", value(20, letters) + "1B"]
+    missed = [text("token", "->", secrets[0]), text("bearer", secrets[1]), text("passphrase", "is", f"'{secrets[2]}'")]
+    short = text("password", "=", '"abc123x!Zx9q7Lm2"')
+    assert not any(secret_crf.base_spans(t) for t in missed + clean)
+    texts = [*known, *clean, *missed, short, None, ""]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r for r in secret_crf.find_secrets(table).collect()}
+    added = {}
+    for i, t in enumerate(texts):
+        spans = [s.split(":") for s in got[i].spans.split(",") if s]
+        assert [":".join(s) for s in spans if s[0] != "crf"] == [s for s in got[i].base_spans.split(",") if s]
+        added[i] = [t[int(a):int(b)] for kind, a, b in spans if kind == "crf"]
+    at = len(known) + len(clean)
+    assert [added[at + i] for i in range(3)] == [[s] for s in secrets]
+    assert added[at + 3] == ["Zx9q7Lm2"]
+    assert not any(added[i] for i in range(at)) and len(got) == len(texts)
 
 
 def test_viterbi_is_exact():
     import itertools
 
     rng = np.random.default_rng(9)
-    field = secret_crf.Field(np.zeros((secret_crf.FEATURES, 3)), rng.normal(size=(3, 3)), rng.normal(size=3))
+    field = secret_crf.Field(np.zeros((2, 3)), rng.normal(size=(3, 3)), rng.normal(size=3), np.zeros(0, np.uint64))
     moves, start = field.legal()
     for _ in range(20):
         scores = rng.normal(size=(6, 3)) * 2
