@@ -334,3 +334,34 @@ def test_schemas_of_many_heads(spark):
     from labelyard.operators.schema import Head, collect_heads, schema_from_heads
 
     assert len(collect_heads(schema_from_heads(spark, [Head(f"h{i}", ["a", "b"]) for i in range(200)]))) == 200
+
+
+def test_csv_records_are_the_same_for_any_split(spark, tmp_path):
+    """Quoted line breaks, doubled quotes, carriage returns and blank lines, in several files and tasks of a few bytes."""
+    import csv
+
+    from labelyard.sources import fixtures
+
+    rng = np.random.default_rng(2)
+    pieces = ["a", "\n", '"', ",", "\r\n", "ü", " ", "NA", "\n\n"]
+    want = {}
+    for number in range(2):
+        rows = [["".join(rng.choice(pieces, int(rng.integers(1, 9)))), f"l{i % 3}"] for i in range(120)]
+        with open(tmp_path / f"part{number}.csv", "w", newline="", encoding="utf-8") as out:
+            writer = csv.writer(out, lineterminator="\r\n" if number else "\n")
+            writer.writerows([["text", "label"], *rows])
+            out.write("\n")
+        want |= {(number << 40) + i: tuple(row) for i, row in enumerate(rows)}
+    path = str(tmp_path / "*.csv")
+    seen = []
+    for size in ("134217728", "64"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            records = fixtures.csv_records(spark, path)
+            seen.append(records.select("file").distinct().count())
+            tasks = spark.read.text(path).rdd.getNumPartitions()
+            got = {r["item_id"]: (r["text"], r["label"]) for r in fixtures.read_train(spark, path).collect()}
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        assert got == want and seen[-1] == 2
+    assert tasks > 10

@@ -5,12 +5,13 @@ from __future__ import annotations
 import time
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F, types as T
 
 from labelyard.functions import (
     build_prompt, clean_confidence, extract_label, min_confidence, normalise_payload,
     parse_predictions, reply_cost, reply_record,
 )
+from labelyard.functions.text import tokens
 from labelyard.operators import arms as arm_ops
 from labelyard.operators import features as feature_ops
 from labelyard.operators import labels as label_ops
@@ -25,7 +26,7 @@ from labelyard.plans import panel as panel_plan
 from labelyard.plans import transfer
 from labelyard.sizing import materialise, workspace
 from labelyard.sources import cache, fixtures
-from labelyard.streaming import route_stream
+from labelyard.streaming import outcomes, route_outcomes, route_stream
 
 from . import bindings as b
 from . import sql as s
@@ -619,12 +620,46 @@ def route_multi_head(spark, sf):
     return answers.select("item_id", "head", labels.alias("labels"), r6("confidence").alias("confidence"))
 
 
-@query(s.route("documents", intent=10) + "SELECT item_id, label, round(confidence, 6) AS confidence FROM intent_ans")
+@query(f"""
+WITH tok AS (SELECT doc_id AS item_id, unnest({s.TOKENS}) AS tok FROM documents),
+vocabulary AS (SELECT tok AS label, row_number() OVER (ORDER BY count(DISTINCT item_id) DESC, tok) - 1 AS ord FROM tok WHERE NOT contains(tok, '_') GROUP BY tok QUALIFY ord < 400),
+hits AS (SELECT item_id, label, ord, count(*) AS score FROM tok JOIN vocabulary ON label = tok GROUP BY ALL),
+best AS (SELECT item_id, arg_max(label, score * 1000 - ord) AS label, max(score)::DOUBLE / sum(score) AS confidence FROM hits GROUP BY 1)
+SELECT doc_id AS item_id, coalesce(label, (SELECT label FROM vocabulary WHERE ord = 0)) AS label, round(confidence, 6) AS confidence
+FROM documents LEFT JOIN best ON item_id = doc_id
+""")
 def route_wide_schema(spark, sf):
-    answers = route_ops.route(b.texts(spark, sf), b.language_schema(spark, intent=10))
+    # The 400 words that most documents have, as 400 labels of one head.
+    texts = b.texts(spark, sf)
+    words = texts.select("item_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("label")).filter(~F.contains("label", F.lit("_")))
+    often = words.groupBy("label").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "label").limit(400)
+    labels = often.select("label", (F.row_number().over(W.orderBy(F.desc("n"), "label")) - 1).alias("ord"))
+    answers = route_ops.route(texts, schema_ops.build_schema(materialise(labels, "labels"), "word"))
     return answers.select("item_id", joined("labels").alias("label"), r6("confidence").alias("confidence"))
 
 
+@query(s.route("documents", intent=10) + """
+SELECT doc_id AS item_id, CASE WHEN source = 'src3' THEN 'rejected' ELSE 'routed' END AS outcome,
+  CASE WHEN source = 'src3' THEN 'text is empty' ELSE label END AS answer
+FROM documents JOIN intent_ans ON item_id = doc_id
+""")
+def stream_outcomes(spark, sf):
+    # One stream, both outcomes; it is stopped after its first files and started again.
+    base = f"{workspace(spark)}/stream-{time.time_ns()}"
+    docs = b.table(spark, sf, "documents").select(
+        F.col("doc_id").alias("item_id"), F.when(F.col("source") == "src3", " \t").otherwise(F.col("text")).alias("text"), "source"
+    )
+    schema = b.language_schema(spark, intent=10)
+    for part in (F.col("source") < "src2", F.col("source") >= "src2"):
+        docs.filter(part).select("item_id", "text").write.mode("append").parquet(f"{base}/in")
+        texts = spark.readStream.schema("item_id long, text string").parquet(f"{base}/in")
+        route_outcomes(texts, schema, f"{base}/out", f"{base}/state").awaitTermination()
+    routed, rejected = outcomes(spark, f"{base}/out")
+    return routed.select("item_id", F.lit("routed").alias("outcome"), joined("labels").alias("answer")).unionByName(
+        rejected.select("item_id", F.lit("rejected").alias("outcome"), F.col("reason").alias("answer"))
+    )
+
+
 @query(s.route("documents", intent=10) + "SELECT item_id, label, round(confidence, 6) AS confidence FROM intent_ans")
 def route_on_stream(spark, sf):
     base = f"{workspace(spark)}/stream-{time.time_ns()}"
@@ -1180,7 +1215,15 @@ SELECT (SELECT count(*) FROM documents WHERE NOT {s.IS_TRAIN} AND lang IN (SELEC
 def schema_swap_supervised(spark, sf):
     train, test = _doc_split(spark, sf)
     rows = transfer.supervised_transfer(
-        test.select("item_id", "text", "label"), train.select("item_id", "text", "label"),
-        b.language_labels(spark), limit=None,
+        test.select("item_id", "text", "label"), train.select("item_id", "text", "label"), b.language_labels(spark), limit=None,
     )
-    return rows.drop("note")
+    return rows.drop("note", "error")
+
+
+@query("SELECT 'FileNotFoundError: no train split' AS error FROM documents HAVING count(*) > 0")
+def schema_swap_without_train(spark, sf):
+    def missing() -> DataFrame:
+        raise FileNotFoundError("no train split")
+
+    asked = b.texts(spark, sf).select("item_id", "text", "label")
+    return transfer.supervised_transfer(asked, missing, b.language_labels(spark), limit=None).select("error")
