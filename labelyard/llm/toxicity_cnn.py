@@ -220,6 +220,14 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string")), F.lit(3)) == 1, F.lit(False))
 
 
+class OneClass(ValueError):
+    """There are no labelled rows of both classes; ``prior`` is the share of ones, 0 without any label."""
+
+    def __init__(self, prior: float):
+        super().__init__("training needs labelled rows of both classes")
+        self.prior = prior
+
+
 def fit_on(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
     """Train on at most ``rows`` labelled rows of each class, the first by a hash of the id; calibrate on all others."""
     return _fitted(docs, labels, rows)[0]
@@ -239,7 +247,7 @@ def _fitted(docs: DataFrame, labels: DataFrame, rows: int) -> tuple[Model, DataF
         .orderBy("_order", "text").limit(4 * rows).toPandas()
     )
     if sample.empty or sample["toxic"].nunique() < 2:
-        raise ValueError("training needs labelled rows of both classes")
+        raise OneClass(counts.get(1, 0) / max(1, sum(counts.values())))
     total = sum(counts.values())
     model = train(list(sample["text"]), sample["toxic"].to_numpy(np.float64), counts.get(1, 0) / total)
     scored = materialise(score(docs, model, ["doc_id", "lang"]), "toxicity-scores")
@@ -273,9 +281,15 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     by_language compares the score with the threshold calibrated for the row's language. Empty and
     null texts have the score of a text without words, rows are scored one by one, equal texts alike,
-    and a null id is not held out. Training fails if no labelled row of one class is left.
+    and a null id is not held out. Without labelled rows of both classes every score is the share of ones among the
+    labels, 0 without any; an empty table gives no rows.
     """
-    model, scored = _fitted(docs, labels, SAMPLE_ROWS)
+    try:
+        model, scored = _fitted(docs, labels, SAMPLE_ROWS)
+    except OneClass as found:
+        prior = F.lit(float(found.prior))
+        sure = F.when(prior >= 0.7, 1).otherwise(0)
+        return docs.select("doc_id", "lang", held_out().alias("held_out"), prior.alias("score"), sure.alias("predicted"), sure.alias("by_language"))
     limits = F.create_map(*[F.lit(x) for pair in sorted(model.thresholds.items()) for x in pair])
     limit = F.coalesce(F.try_element_at(limits, F.coalesce(F.col("lang"), F.lit(""))), F.lit(model.thresholds[""]))
     return scored.select(

@@ -353,3 +353,8 @@ def test_toxicity(spark, docs):
     assert right >= 0.95 * len(held)
     with pytest.raises(ValueError):
         toxicity_cnn.fit_on(labelled, labels.limit(0))
+    for marked, score in ((labels.limit(0), 0.0), (labels.filter("toxic = 0"), 0.0), (labels.filter("toxic = 1"), 1.0)):
+        plain = toxicity_cnn.toxicity(labelled, marked)
+        assert plain.columns == ["doc_id", "lang", "held_out", "score", "predicted", "by_language"]
+        assert {(r.score, r.predicted) for r in plain.collect()} == {(score, int(score >= 0.7))} and plain.count() == 900
+    assert toxicity_cnn.toxicity(labelled.limit(0), labels).count() == 0
