@@ -15,10 +15,6 @@ def label_array(labels: Column) -> Column:
     return F.array_sort(F.array_distinct(F.filter(labels, lambda e: e.isNotNull())))
 
 
-def label_set_of(*labels: Column) -> Column:
-    return label_array(F.array(*labels))
-
-
 def _kind(v: Column) -> Column:
     """First letter of the VARIANT type: O(bject), A(rray), V(oid) or a scalar's."""
     return F.coalesce(F.substring(F.schema_of_variant(v), 1, 1), F.lit("V"))

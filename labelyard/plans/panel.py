@@ -29,6 +29,14 @@ from ..types import MAX_SYSTEMS, PANEL_COLUMNS, UNAVAILABLE
 METRIC = (
     "exact-set match (a prediction is correct only if the label set equals the reference)"
 )
+# Texts of the panel's notes.
+FLOOR_NAME = "majority class (%s)"
+FLOOR_NOTES = ["floor, not a system: predicts '%s' for everything (%d/%d items)", "a model must beat this to be doing anything"]
+ZERO_SHOT_NOTE = "zero-shot, 0 training examples"
+TRAINED_NOTE = "trained on {:,} labelled examples"
+TAXONOMY_NOTE = "{}-way fixed taxonomy"
+NO_DESCRIPTIONS = "{} ships no label descriptions (coverage {:.0%})"
+
 # A supervised arm answers a slice in so many parts, each with a time of its own.
 TIMED_PARTS = 4
 ZERO_SHOT, SUPERVISED, EXTERNAL = "zero_shot", "supervised", "external"
@@ -72,19 +80,13 @@ def floor_row(items: DataFrame) -> DataFrame:
     """The majority-class row: a reference point, never part of a paired test."""
     label = F.col("label")
     return majority_floor(items).select(
-        F.concat(F.lit("majority class ("), label, F.lit(")")).alias("name"),
+        F.format_string(FLOOR_NAME, label).alias("name"),
         "n", "accuracy",
         F.lit(None).cast("double").alias("ci_low"), F.lit(None).cast("double").alias("ci_high"),
         "macro_f1",
         F.lit(None).cast("double").alias("p50_ms"), F.lit(None).cast("double").alias("p95_ms"),
         F.lit(None).cast("double").alias("cost_per_1k_usd"), F.lit("free").alias("cost_status"),
-        F.array(
-            F.concat(
-                F.lit("floor, not a system: predicts '"), label, F.lit("' for everything ("),
-                F.format_string("%d/%d items)", "count", "n"),
-            ),
-            F.lit("a model must beat this to be doing anything"),
-        ).alias("notes"),
+        F.array(F.format_string(FLOOR_NOTES[0], label, "count", "n"), F.lit(FLOOR_NOTES[1])).alias("notes"),
     )
 
 
@@ -241,7 +243,7 @@ def run_panel(
     def zero_shot(use_descriptions: bool) -> tuple[Callable[[], DataFrame], list[str]]:
         schema = build_schema(labels, described=use_descriptions)
         row = inflation_note(schema).first()
-        text = [row["note"], "zero-shot, 0 training examples", row["warning"] or ""]
+        text = [row["note"], ZERO_SHOT_NOTE, row["warning"] or ""]
 
         def answer(part: DataFrame) -> DataFrame:
             return predictions_of(classify_many(part, schema, lexical_scorer, system="zero_shot")).drop("system")
@@ -258,7 +260,7 @@ def run_panel(
         title, role = SYSTEMS[key]
         if key == "zero_shot_described" and not coverage > 0:
             unavailable.append(
-                (title, f"{name} ships no label descriptions (coverage {coverage:.0%})")
+                (title, NO_DESCRIPTIONS.format(name, coverage))
             )
         elif role == ZERO_SHOT:
             arms[title], text = zero_shot(described or key == "zero_shot_described")
@@ -274,8 +276,7 @@ def run_panel(
                     named = f"{key}-{num_features}-{max_iter}-{training_fingerprint(rows)}"
                     arm = load_or_fit(spark, key, rows, f"{cache}/arms/{named}", num_features=num_features, max_iter=max_iter)
                 notes.append((title, [
-                    f"trained on {arm.trained_on:,} labelled examples",
-                    f"{len(arm.labels)}-way fixed taxonomy",
+                    TRAINED_NOTE.format(arm.trained_on), TAXONOMY_NOTE.format(len(arm.labels)),
                 ]))
 
                 def answer(part: DataFrame) -> DataFrame:
