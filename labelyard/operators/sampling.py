@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import seed_order
-from ..sizing import broadcast_if_small
+from ..sizing import broadcast_if_small, materialise
 from .ranks import numbered
 
 # Up to this many rows a per-task top-n merge is the cheapest exact plan.
@@ -37,8 +37,14 @@ def first_n(df: DataFrame, n: int | None, key: str = "item_id") -> DataFrame:
 def nested_subsets(
     df: DataFrame, sizes: list[int], seed: int = 0, key: str = "item_id"
 ) -> dict[int, DataFrame]:
-    """Random training subsets without replacement; smaller ones lie inside larger ones."""
-    return {size: sample_n(df, size, seed, key) for size in sorted(sizes)}
+    """Random training subsets without replacement; smaller ones lie inside larger ones.
+
+    The rows are put into their random order once and stored with their places. Sizes beyond the
+    table are left out.
+    """
+    placed = materialise(numbered(df, [seed_order(seed, F.col(key)), F.col(key)], "_place"), "placed")
+    n = placed.count()
+    return {size: placed.filter(F.col("_place") <= size).drop("_place") for size in sorted(sizes) if size <= n}
 
 
 def split_by_hash(

@@ -249,7 +249,7 @@ def first_n_slice(spark, sf):
 
 @query("""
 WITH o AS (SELECT doc_id AS item_id, row_number() OVER (ORDER BY md5('0-' || doc_id), doc_id) AS pos FROM documents)
-SELECT n AS size, item_id FROM o, (VALUES (100), (500), (2000)) v(n) WHERE pos <= n
+SELECT n AS size, item_id FROM o, (VALUES (100), (500), (2000)) v(n) WHERE pos <= n AND n <= (SELECT count(*) FROM documents)
 """)
 def nested_train_subset(spark, sf):
     docs = b.documents(spark, sf).select("item_id")
