@@ -1,9 +1,10 @@
 """Exact nearest neighbours of binary codes by incremental multi-index hashing.
 
-A code is cut into segments, and each segment value leads to the codes that have it. Two codes at
-distance d agree in some segment up to d / segments bits, so probing all segment values within r
-bits of a query finds every code at a distance below segments * (r + 1). The radius grows until the
-k-th distance found lies below that; a query leaves as soon as it does.
+A code is cut into segments, and each segment value leads to the codes that have it. If the first a
+of m segments are probed with all values within r bits of a query, and the others within r - 1, every code
+at a distance below m * r + a is found: one further away in every segment would be at least that far. Radii
+grow by one for half of the segments, then for the others, until the k-th distance found lies below
+that bound; a query leaves as soon as it does.
 """
 
 from __future__ import annotations
@@ -52,11 +53,11 @@ def _flip(number: int, value: Column) -> Callable[[Column], Column]:
     return lambda mask: F.struct(F.lit(number).alias("segment"), value.bitwiseXOR(mask).alias("value"))
 
 
-def _probes(queries: DataFrame, cuts: list[tuple[int, int]], radius: int) -> DataFrame:
-    """query, segment and every value exactly ``radius`` bits away from the query's segment."""
+def _probes(queries: DataFrame, cuts: list[tuple[int, int]], radius: int, numbers: range) -> DataFrame:
+    """query, segment and every value exactly ``radius`` bits away from the query's segment, for the segments ``numbers``."""
     parts = []
     for number, ((_, width), value) in enumerate(zip(cuts, _segments(F.col("query"), cuts))):
-        if radius > width:
+        if radius > width or number not in numbers:
             continue
         masks = [sum(1 << b for b in flips) for flips in itertools.combinations(range(width), radius)]
         flipped = F.from_json(F.lit(str(masks)), "array<long>")
@@ -99,12 +100,15 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 10, bits: int = BITS)
 
     by_distance = Window.partitionBy("query").orderBy("distance")
     open_, done, best = queries.select("query").distinct(), [], None
-    for radius in range(max(width for _, width in cuts) + 1):
+    half = (len(cuts) + 1) // 2
+    rounds = [(r, n) for r in range(max(width for _, width in cuts) + 1) for n in (range(half), range(half, len(cuts))) if any(r <= cuts[i][1] for i in n)]
+    for radius, numbers in rounds:
         open_ = materialise(open_, "open-queries")
         if open_.isEmpty():
             break
+        # the probes are many more than the queries they come from, so neither side is broadcast
         met = (
-            _probes(open_, cuts, radius).join(index, ["segment", "value"]).filter(_found_here(cuts, radius))
+            _probes(open_, cuts, radius, numbers).join(index.hint("merge"), ["segment", "value"]).filter(_found_here(cuts, radius))
             .select("query", "code", "held", F.bit_count(F.col("query").bitwiseXOR(F.col("code"))).alias("distance"))
         )
         met = met if best is None else met.unionByName(best.join(open_, "query", "left_semi"))
@@ -113,7 +117,7 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 10, bits: int = BITS)
         reached = best.withColumn("_sum", F.sum("held").over(by_distance)).groupBy("query").agg(
             F.min(F.when(F.col("_sum") > k, F.col("distance"))).alias("kth")
         )
-        covered = reached.filter(F.col("kth") < len(cuts) * (radius + 1)).select("query")
+        covered = reached.filter(F.col("kth") < len(cuts) * radius + numbers.stop).select("query")
         done.append(best.join(covered, "query", "left_semi"))
         open_ = open_.join(covered, "query", "left_anti")
     if best is None:
