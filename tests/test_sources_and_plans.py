@@ -263,6 +263,26 @@ def test_optimiser_sums_large_gradients_in_blocks(spark, monkeypatch):
     assert direct[1][7] == pytest.approx((up - down) / 2e-6, rel=1e-4)
 
 
+def test_text_fit_holds_numbers_by_item_and_not_by_term(spark, monkeypatch):
+    """A vocabulary larger than what the driver may hold; steep columns and equal or missing ids lead to the same optimum."""
+    from labelyard.operators import supervised
+
+    rng = np.random.default_rng(7)
+    words = [f"w{i}" for i in range(400)]
+    rows = [(i // 2 if i < 8 else i, " ".join([y * 2, *rng.choice(words, 30)]), y) for i, y in enumerate(rng.choice(["a", "b", "c"], 50).tolist())]
+    rows.append((None, "aa w1 w2", "a"))
+    train = spark.createDataFrame(rows, "item_id long, text string, label string")
+    monkeypatch.setattr(supervised, "MAX_WEIGHTS", 200)
+    for steep in (4.0, 0.5):
+        monkeypatch.setattr(supervised, "STEEP", steep)
+        arm = supervised.fit_arm("tfidf", train.filter("item_id >= 4"))
+        assert arm.terms.filter("df > 1").count() > 200
+        assert all(r["gradient"] < supervised.GRADIENT_BOUND for r in supervised.optimality(arm, train.filter("item_id >= 4")).collect())
+    assert supervised.fit_arm("tfidf", train).trained_on == 51
+    with pytest.raises(ValueError, match="too many"):
+        supervised.fit_arm("tfidf", train.unionByName(train))
+
+
 def test_concurrent_cache_runs_double_nothing(spark, texts, labels, tmp_path):
     """A run that commits while another one is scoring; the later one leaves out what the first has committed."""
     from labelyard.sources.cache import Runs, _entries
