@@ -39,12 +39,11 @@ def nested_subsets(
 ) -> dict[int, DataFrame]:
     """Random training subsets without replacement; smaller ones lie inside larger ones.
 
-    The rows are put into their random order once and stored with their places. Sizes beyond the
-    table are left out.
+    The rows are put into their random order once and stored with their places. A size beyond the
+    table has all its rows.
     """
     placed = materialise(numbered(df, [seed_order(seed, F.col(key)), F.col(key)], "_place"), "placed")
-    n = placed.count()
-    return {size: placed.filter(F.col("_place") <= size).drop("_place") for size in sorted(sizes) if size <= n}
+    return {size: placed.filter(F.col("_place") <= size).drop("_place") for size in sorted(sizes)}
 
 
 def split_by_hash(

@@ -82,6 +82,11 @@ def test_samples(spark, monkeypatch):
         sampling.first_n(df, -1)
 
 
+def test_a_subset_beyond_the_table_has_all_its_rows(spark):
+    subsets = sampling.nested_subsets(spark.range(30).withColumnRenamed("id", "item_id"), [10, 100])
+    assert {size: rows.count() for size, rows in subsets.items()} == {10: 10, 100: 30}
+
+
 @pytest.mark.parametrize("limit", [0, 1000])
 def test_slices_of_text_and_null_keys(spark, monkeypatch, limit):
     monkeypatch.setattr(sampling, "TOP_N_ROWS", limit)
