@@ -271,3 +271,28 @@ def test_a_conversation_crosses_batches(spark, monkeypatch):
 def test_repair_of_nothing(spark):
     empty = spark.createDataFrame([], "conv_id string, turn long, role string, text string")
     assert turn_repair.repair(turn_repair.damage(empty)).count() == 0
+
+
+def test_rules_whose_tokens_stand_far_apart_in_long_urls(spark):
+    """Combinations over more tokens than a block, and their confidence over short and long URLs together."""
+    import itertools
+
+    rows = []
+    for i in range(30):
+        words = [f"p:w{j:02}" for j in range(14) if (i * 7 + j * j) % 5] if i % 3 else [f"p:w{j:02}" for j in (i % 14, (i + 9) % 14)]
+        rows.append((words, "block" if "p:w01" in words and "p:w12" in words else "allow"))
+    mining = url_rules.Mining(support=0.1, least=3, confidence=0.8, tokens=3, block=4)
+    got = {(tuple(r.antecedent), r.verdict): (round(r.confidence, 9), round(r.support, 9)) for r in url_rules.mine(spark.createDataFrame(rows, "tokens array<string>, verdict string"), mining).collect()}
+    rules = {}
+    for size in (1, 2, 3):
+        for part in itertools.combinations(sorted({w for ws, _ in rows for w in ws}), size):
+            said = [v for ws, v in rows if set(part) <= set(ws)]
+            for verdict in ("allow", "block"):
+                n = said.count(verdict)
+                if n >= 3 and n / len(said) >= 0.8:
+                    rules[part, verdict] = (round(n / len(said), 9), round(n / 30, 9))
+    best = {
+        key: value for key, value in rules.items()
+        if not any(rules.get((part, key[1]), (0, 0))[0] >= value[0] for size in range(1, len(key[0])) for part in itertools.combinations(key[0], size))
+    }
+    assert got == best and any(len(part) > 1 for part, _ in best)
