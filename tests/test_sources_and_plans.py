@@ -283,6 +283,20 @@ def test_text_fit_holds_numbers_by_item_and_not_by_term(spark, monkeypatch):
         supervised.fit_arm("tfidf", train.unionByName(train))
 
 
+def test_tfidf_ships_each_occurrence_once(spark, monkeypatch):
+    """One exchange of the occurrences; ids that come twice or are missing, and norms too many to broadcast."""
+    rows = [(1, "ab cd ab"), (1, "cd ef"), (None, "ab xy"), (None, "ab"), (2, None), (3, "cd")]
+    items = spark.createDataFrame(rows, "item_id long, text string")
+    found = features.tfidf(items)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression") == 2 and "Window" not in plan  # once for the norms, the same exchange
+    got = sorted((str(r["item_id"]), r["term"], r["tf"], r["df"], round(r["weight"], 9)) for r in found.collect())
+    monkeypatch.setattr(features, "NORM_ROWS", 0)
+    assert got == sorted((str(r["item_id"]), r["term"], r["tf"], r["df"], round(r["weight"], 9)) for r in features.tfidf(items).collect())
+    assert [x[:4] for x in got if x[0] == "1"] == [("1", "ab", 2, 2), ("1", "ab cd", 1, 1), ("1", "cd", 2, 2), ("1", "cd ab", 1, 1), ("1", "cd ef", 1, 1), ("1", "ef", 1, 1)]
+    assert ("None", "ab", 2, 2) in [x[:4] for x in got]
+
+
 def test_concurrent_cache_runs_double_nothing(spark, texts, labels, tmp_path):
     """A run that commits while another one is scoring; the later one leaves out what the first has committed."""
     from labelyard.sources.cache import Runs, _entries
