@@ -4,7 +4,7 @@ A code is cut into segments, and each segment value leads to the codes that have
 of m segments are probed with all values within r bits of a query, and the others within r - 1, every code
 at a distance below m * r + a is found: one further away in every segment would be at least that far. Radii
 grow by one for half of the segments, then for the others, until the k-th distance found lies below
-that bound; a query leaves as soon as it does.
+that bound; a query leaves as soon as it does. Codes beyond the k-th distance found so far are not met again.
 """
 
 from __future__ import annotations
@@ -18,6 +18,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from labelyard.sizing import materialise
 
 BITS = 64
+# log2 of the codes that a segment value leads to on average. Comparing some more codes in the join costs far
+# less than a wider segment, whose values within a radius are many more rows to ship.
+BUCKET = 4
 
 
 def sign_code(vector: str, bits: int = BITS) -> Column:
@@ -39,8 +42,8 @@ def sign_code(vector: str, bits: int = BITS) -> Column:
 
 
 def cut(bits: int, n_codes: int) -> list[tuple[int, int]]:
-    """Segments (shift, width) of near equal width, about log2(n) bits, so that buckets stay small."""
-    m = max(1, min(bits, round(bits / math.log2(max(4, n_codes)))))
+    """Segments (shift, width) of near equal width, ``BUCKET`` bits less than log2(n), so that buckets stay small."""
+    m = max(1, min(bits, round(bits / max(2, math.log2(max(4, n_codes)) - BUCKET))))
     edges = [round(i * bits / m) for i in range(m + 1)]
     return [(a, b - a) for a, b in zip(edges, edges[1:])]
 
@@ -54,7 +57,7 @@ def _flip(number: int, value: Column) -> Callable[[Column], Column]:
 
 
 def _probes(queries: DataFrame, cuts: list[tuple[int, int]], radius: int, numbers: range) -> DataFrame:
-    """query, segment and every value exactly ``radius`` bits away from the query's segment, for the segments ``numbers``."""
+    """query, within, segment and every value exactly ``radius`` bits away from the query's segment, for the segments ``numbers``."""
     parts = []
     for number, ((_, width), value) in enumerate(zip(cuts, _segments(F.col("query"), cuts))):
         if radius > width or number not in numbers:
@@ -62,7 +65,7 @@ def _probes(queries: DataFrame, cuts: list[tuple[int, int]], radius: int, number
         masks = [sum(1 << b for b in flips) for flips in itertools.combinations(range(width), radius)]
         flipped = F.from_json(F.lit(str(masks)), "array<long>")
         parts.append(F.transform(flipped, _flip(number, value)))
-    return queries.select("query", F.explode(F.concat(*parts)).alias("probe")).select("query", "probe.segment", "probe.value")
+    return queries.select("query", "within", F.explode(F.concat(*parts)).alias("probe")).select("query", "within", "probe.segment", "probe.value")
 
 
 def _found_here(cuts: list[tuple[int, int]], radius: int) -> Column:
@@ -99,7 +102,8 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 10, bits: int = BITS)
     index = materialise(codes.select("code", "held", F.explode(entries).alias("e")).select("e.segment", "e.value", "code", "held"), "code-index")
 
     by_distance = Window.partitionBy("query").orderBy("distance")
-    open_, done, best = queries.select("query").distinct(), [], None
+    apart = F.bit_count(F.col("query").bitwiseXOR(F.col("code")))
+    open_, done, best = queries.select("query", F.lit(bits).alias("within")).distinct(), [], None
     half = (len(cuts) + 1) // 2
     rounds = [(r, n) for r in range(max(width for _, width in cuts) + 1) for n in (range(half), range(half, len(cuts))) if any(r <= cuts[i][1] for i in n)]
     for radius, numbers in rounds:
@@ -108,8 +112,8 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 10, bits: int = BITS)
             break
         # the probes are many more than the queries they come from, so neither side is broadcast
         met = (
-            _probes(open_, cuts, radius, numbers).join(index.hint("merge"), ["segment", "value"]).filter(_found_here(cuts, radius))
-            .select("query", "code", "held", F.bit_count(F.col("query").bitwiseXOR(F.col("code"))).alias("distance"))
+            _probes(open_, cuts, radius, numbers).join(index.hint("merge"), ["segment", "value"])
+            .filter((apart <= F.col("within")) & _found_here(cuts, radius)).select("query", "code", "held", apart.alias("distance"))
         )
         met = met if best is None else met.unionByName(best.join(open_, "query", "left_semi"))
         best = materialise(met.withColumn("_r", F.rank().over(by_distance)).filter(F.col("_r") <= k + 1).drop("_r"), "best-codes")
@@ -119,7 +123,9 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 10, bits: int = BITS)
         )
         covered = reached.filter(F.col("kth") < len(cuts) * radius + numbers.stop).select("query")
         done.append(best.join(covered, "query", "left_semi"))
-        open_ = open_.join(covered, "query", "left_anti")
+        # enough rows are as near as the k-th, so what is further away is in no answer
+        nearer = open_.join(covered, "query", "left_anti").join(reached, "query", "left")
+        open_ = nearer.select("query", F.coalesce(F.least("within", "kth"), "within").alias("within"))
     if best is None:
         best = index.select(F.col("code").alias("query"), "code", "held", F.lit(0).alias("distance")).limit(0)
     else:  # with all radii probed, queries with fewer than k neighbours are complete

@@ -1,5 +1,6 @@
 """Every operator on nulls, empty and long texts, repeated rows, empty tables and clashing columns."""
 
+import math
 import hashlib
 import re
 import zlib
@@ -268,6 +269,19 @@ def test_neighbours(spark):
     assert hamming_topk.nearest(table.filter("id < 3"), queries, k=7, bits=16).count() > 0
 
 
+def test_probes_of_a_query_stay_few_as_codes_grow():
+    """Values probed until all codes at the distance of a tenth nearest random code are found."""
+    for n, distance in ((10_000, 20), (50_000, 18), (3_000_000, 14)):
+        widths = [width for _, width in hamming_topk.cut(64, n)]
+        half, probes, bound = (len(widths) + 1) // 2, 0, 0
+        rounds = ((r, part) for r in range(20) for part in (range(half), range(half, len(widths))))
+        while bound <= distance:
+            radius, part = next(rounds)
+            probes += sum(math.comb(widths[i], radius) for i in part)
+            bound = len(widths) * radius + part.stop
+        assert probes < 2_000
+
+
 def test_codes_of_odd_vectors(spark):
     table = spark.createDataFrame([(1, None), (2, []), (3, [1.0, -1.0, None]), (4, [1.0] * 64)], "id long, v array<float>")
     assert [r.c for r in table.orderBy("id").select(hamming_topk.sign_code("v", 32).alias("c")).collect()] == [None, 0, 1, (1 << 32) - 1]
