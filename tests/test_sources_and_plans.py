@@ -1,3 +1,5 @@
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -283,6 +285,34 @@ def test_text_fit_holds_numbers_by_item_and_not_by_term(spark, monkeypatch):
         supervised.fit_arm("tfidf", train.unionByName(train))
 
 
+def test_terms_are_counted_some_items_at_a_time(monkeypatch):
+    """Pairs stay within a text; an item with more words than are counted at a time, empty lists and missing ids."""
+    import pyarrow as pa
+
+    asked = [(1, [["ab", "cd", "ab"], ["cd", "ef"]]), (None, [["ab", "xy"], []]), (2, []), (3, [[]]), (4, [["cd"] * 9]), (5, [["ab"]])]
+    batch = pa.RecordBatch.from_arrays([pa.array([i for i, _ in asked]), pa.array([w for _, w in asked], pa.list_(pa.list_(pa.string())))], ["item_id", "words"])
+    want = sorted((str(i), term, n) for i, lists in asked for term, n in Counter(t for w in lists for t in [*w, *map(" ".join, zip(w, w[1:]))]).items())
+    for words in (1, 4, 1000):
+        monkeypatch.setattr(features, "WORDS", words)
+        got = [(str(r["item_id"]), r["term"], r["tf"]) for part in features._counted(iter([batch.slice(0, 2), batch.slice(2)])) for r in part.to_pylist()]
+        assert sorted(got) == want
+
+
+def test_occurrences_are_packed_many_terms_to_a_row(spark, monkeypatch):
+    """Rows end between terms, whatever their size, and every term is in one row."""
+    rows = [(i, f"t{i * j % 7}", 1 + j) for i in range(30) for j in range(3) if i * j % 7 or not j]
+    counts = spark.createDataFrame(rows, "item_id int, term string, tf long")
+    for chunk in (4, 1 << 16):
+        monkeypatch.setattr(features, "CHUNK", chunk)
+        stored, got = features.packed_occurrences(counts).collect(), []
+        for r in stored:
+            starts, items, tfs = np.frombuffer(r["starts"], np.int32), np.frombuffer(r["items"], np.int32), np.frombuffer(r["tfs"])
+            assert r["n"] == len(r["terms"]) == len(starts)
+            got += [(int(i), r["terms"][at], int(tf)) for at, start in enumerate(starts) for i, tf in zip(*(np.split(x, starts[1:])[at] for x in (items, tfs)))]
+        assert sorted(got) == sorted(rows) and len({(r["part"], r["chunk"]) for r in stored}) == len(stored)
+        assert sum(r["n"] for r in stored) == len({r[1] for r in rows})
+
+
 def test_tfidf_ships_each_occurrence_once(spark, monkeypatch):
     """One exchange of the occurrences; ids that come twice or are missing, and norms too many to broadcast."""
     rows = [(1, "ab cd ab"), (1, "cd ef"), (None, "ab xy"), (None, "ab"), (2, None), (3, "cd")]
