@@ -174,6 +174,17 @@ def test_run_panel_reports_what_could_not_run(spark, texts, labels):
         run_panel(texts, labels, systems=["x"])
 
 
+def test_a_panel_ends_with_the_failure_of_an_arm(spark, texts, labels):
+    """A fit that fails is no reason beside the other systems; only training rows that do not exist are."""
+    def broken():
+        return spark.read.parquet("/nowhere/train.parquet")
+
+    one_label = texts.filter("label = 'en'").select("item_id", "text", "label")
+    for train, message in ((lambda: one_label, "two labels"), (broken, "PATH_NOT_FOUND")):
+        with pytest.raises(Exception, match=message):
+            run_panel(texts, labels, name="f", train=train, systems=["zero_shot", "tfidf"])
+
+
 def test_swap_scores_each_side_on_its_own_labels(spark, texts, labels):
     rows = {r["side"]: r for r in schema_swap(texts, labels, described=True).collect()}
     assert {r["n_labels"] for r in rows.values()} == {1} and all(r["accuracy"] == 1.0 for r in rows.values())
