@@ -192,6 +192,24 @@ def test_swap_scores_each_side_on_its_own_labels(spark, texts, labels):
     assert sorted(r["error"] is None for r in only_en.values()) == [False, True]
 
 
+def test_a_transfer_that_fails_is_no_row(spark, texts):
+    from labelyard.plans import supervised_transfer
+
+    four = spark.createDataFrame([(name, i) for i, name in enumerate("abcd")], "label string, ord int")
+    rows = spark.createDataFrame([(i, f"{'abcd'[i % 4]} word", "abcd"[i % 4]) for i in range(16)], "item_id long, text string, label string")
+    asked = supervised_transfer(rows, lambda: rows, four).first()
+    assert (asked["n"], asked["answers_in_b"], asked["supervised_trained_on"], asked["error"]) == (8, 0, 8, None)
+
+    def missing():
+        raise FileNotFoundError("no train split")
+
+    assert supervised_transfer(rows, missing, four).first()["error"] == "FileNotFoundError: no train split"
+    with pytest.raises(ValueError, match="two labels"):
+        supervised_transfer(rows, rows.filter("label = 'a'"), four)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        supervised_transfer(rows, lambda: spark.read.parquet("/nowhere/train.parquet"), four)
+
+
 def test_reply_stream_equals_batch(spark, tmp_path):
     rows = [(i, c) for i, c in enumerate(["en", "FR.", "neither"])]
     df = spark.createDataFrame(rows, "item_id long, content string")
