@@ -314,6 +314,50 @@ def test_text_fit_holds_numbers_by_item_and_not_by_term(spark, monkeypatch):
         supervised.fit_arm("tfidf", train.unionByName(train))
 
 
+def test_text_fit_reads_numbers_by_item_in_stretches(spark, monkeypatch):
+    """Stretches, blocks and broadcasts of a few numbers give the same arm, with ids that come often or are missing."""
+    from labelyard.operators import logistic, supervised
+
+    rng = np.random.default_rng(11)
+    words = [f"w{i}" for i in range(60)]
+    rows = [(None if i < 3 else min(i // 3, 12), " ".join([y * 2, *rng.choice(words, 12)]), y) for i, y in enumerate(rng.choice(["a", "b", "c"], 60).tolist())]
+    train = spark.createDataFrame(rows, "item_id long, text string, label string")
+
+    def weights():
+        arm = supervised.fit_arm("tfidf", train)
+        return np.array([[r["df"], *r["w"]] for r in arm.terms.orderBy("term").collect()]), arm.intercepts
+
+    whole = weights()
+    for name, value in (("STRETCH", 4), ("SENT", 1), ("BLOCK", 40), ("DIRECT_BYTES", 0), ("FETCHED_BYTES", 0)):
+        monkeypatch.setattr(logistic, name, value)
+    parts = weights()
+    assert parts[0] == pytest.approx(whole[0], abs=1e-4) and parts[1] == pytest.approx(whole[1], abs=1e-4)
+
+
+def test_driver_of_an_optimiser_holds_few_numbers_by_item(spark, monkeypatch):
+    """Remembered steps are no longer in its memory: each would be four numbers by item and label."""
+    import tracemalloc
+
+    from labelyard.operators import logistic
+
+    monkeypatch.setattr(logistic, "STRETCH", 1 << 14)
+    rng, n, k = np.random.default_rng(12), 150_000, 3
+    rows = []
+    for _ in range(4):
+        keys = np.concatenate([np.sort(rng.choice(n, 500, replace=False)) for _ in range(40)]).astype(np.int32)
+        rows.append([np.full(40, -1, np.int32), np.arange(40, dtype=np.int32) * 500, keys, np.abs(rng.normal(size=len(keys)))])
+    table = spark.createDataFrame([tuple(bytearray(x.tobytes()) for x in row) for row in rows], "slots binary, starts binary, keys binary, values binary")
+    columns = logistic.Columns(table, np.arange(n), np.zeros(n))
+    kernel = logistic.Kernel(columns, rng.integers(0, k, n), np.ones(n), k, np.zeros(0), 1 / n, float(n))
+    tracemalloc.start()
+    try:
+        with pytest.warns(UserWarning, match="stopped after 8 steps"):
+            logistic.minimise(kernel, 8, 0.0, "x")
+        assert tracemalloc.get_traced_memory()[1] < 12 * 8 * n * k
+    finally:
+        tracemalloc.stop()
+
+
 def test_terms_are_counted_some_items_at_a_time(monkeypatch):
     """Pairs stay within a text; an item with more words than are counted at a time, empty lists and missing ids."""
     import pyarrow as pa
