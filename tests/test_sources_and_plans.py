@@ -400,6 +400,49 @@ def test_tfidf_ships_each_occurrence_once(spark, monkeypatch):
     assert ("None", "ab", 2, 2) in [x[:4] for x in got]
 
 
+def test_tfidf_meets_in_blocks(spark, monkeypatch):
+    """Many parts, tasks that deal out few occurrences at a time, string ids: the weights by their definition, no join by broadcast."""
+    import math
+
+    rng = np.random.default_rng(8)
+    words = [f"w{i}" for i in range(40)]
+    texts = {f"d{i}" if i else None: " ".join(rng.choice(words, int(rng.integers(1, 30)))) for i in range(50)}
+    items = spark.createDataFrame(list(texts.items()), "item_id string, text string")
+    counts = {i: Counter([*text.split(), *map(" ".join, zip(text.split(), text.split()[1:]))]) for i, text in texts.items()}
+    df = Counter(term for held in counts.values() for term in held)
+    raw = {(i, term): (1 + math.log(tf)) * (math.log(51 / (1 + df[term])) + 1) for i, held in counts.items() for term, tf in held.items()}
+    norm = {i: math.sqrt(sum(raw[i, term] ** 2 for term in held)) for i, held in counts.items()}
+    for name, value in (("DEALT", 7), ("PART_CHARS", 100), ("CHUNK", 3)):
+        monkeypatch.setattr(features, name, value)
+    found = features.tfidf(items)
+    got = {(r["item_id"], r["term"]): r for r in found.collect()}
+    assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
+    assert set(got) == set(raw) and found.count() == len(raw)
+    for (i, term), r in got.items():
+        assert (r["tf"], r["df"]) == (counts[i][term], df[term]) and r["weight"] == pytest.approx(raw[i, term] / norm[i])
+
+
+def test_text_arm_predicts_from_blocks_as_from_rows(spark, monkeypatch):
+    """Answers by blocks of terms are those of the joined rows, for whole numbers, strings, missing ids and unknown words."""
+    from labelyard.operators import supervised
+
+    rng = np.random.default_rng(9)
+    words = [f"w{i}" for i in range(50)]
+    rows = [(i, " ".join([y * 2, *rng.choice(words, 8)]), y) for i, y in enumerate(rng.choice(["a", "b", "c"], 60).tolist())]
+    arm = supervised.fit_arm("tfidf", spark.createDataFrame(rows, "item_id long, text string, label string"))
+    asked = [(i if i else None, " ".join(rng.choice([*words, "aa", "bb", "new"], int(rng.integers(0, 9))))) for i in range(40)] + [(50, None), (51, "unknown")]
+    monkeypatch.setattr(features, "DEALT", 9)
+    monkeypatch.setattr(features, "PART_CHARS", 50)
+    for kind in ("long", "string"):
+        items = spark.createDataFrame([(i if i is None or kind == "long" else str(i), t) for i, t in asked], f"item_id {kind}, text string")
+        shares = arm.shares(items)
+        assert "BroadcastHashJoin" not in shares._jdf.queryExecution().optimizedPlan().toString()
+        by_blocks = {r["item_id"]: r["p"] for r in shares.collect()}
+        by_rows = {r["item_id"]: r["p"] for r in arm.scored(items, features.term_counts(items)).collect()}
+        assert set(by_blocks) == set(by_rows) and len(by_blocks) == 42
+        assert all(by_blocks[i] == pytest.approx(by_rows[i]) for i in by_rows)
+
+
 def test_concurrent_cache_runs_double_nothing(spark, texts, labels, tmp_path):
     """A run that commits while another one is scoring; the later one leaves out what the first has committed."""
     from labelyard.sources.cache import Runs, _entries
