@@ -443,6 +443,24 @@ def test_text_arm_predicts_from_blocks_as_from_rows(spark, monkeypatch):
         assert all(by_blocks[i] == pytest.approx(by_rows[i]) for i in by_rows)
 
 
+def test_packed_rows_are_read_a_few_at_a_time(spark, texts, monkeypatch):
+    """A reader holds a row group, so the packed rows of a text fit are stored a few to a group."""
+    import pyarrow.parquet as pq
+
+    from labelyard import sizing
+    from labelyard.operators import supervised
+
+    stored = {}
+    monkeypatch.setattr(features, "CHUNK", 4)
+    monkeypatch.setattr(sizing, "WIDE_ROWS", 2)
+    monkeypatch.setattr(supervised, "materialise", lambda df, name, *a, **b: stored.setdefault(name, sizing.materialise(df, name, *a, **b)))
+    supervised.fit_arm("tfidf", texts.select("item_id", "text", "label"))
+    for name in ("occurrences", "columns"):
+        groups = [g for f in stored[name].inputFiles() for m in [pq.ParquetFile(f.removeprefix("file://")).metadata] for g in map(m.row_group, range(m.num_row_groups))]
+        assert len(groups) > 1 and max(g.num_rows for g in groups) <= 2
+    assert stored["occurrences"].count() > 8
+
+
 def test_concurrent_cache_runs_double_nothing(spark, texts, labels, tmp_path):
     """A run that commits while another one is scoring; the later one leaves out what the first has committed."""
     from labelyard.sources.cache import Runs, _entries
